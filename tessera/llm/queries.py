@@ -5,21 +5,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import compression_quality, mil_toxicity, rule_cascade, simhash, url_rules, va_search
+from tessera.llm import (
+    compression_quality,
+    maxent_lm,
+    mil_toxicity,
+    mixing,
+    nnls_packing,
+    rule_cascade,
+    simhash,
+    surrogates,
+    url_rules,
+    va_search,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with surrogates in place of personal data, and how many mentions were replaced."""
+    return surrogates.pseudonymise(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_replaced")
+
+
+def op2_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nnls_packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op3_mil_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mil_toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every use of a document in a mixture of as many tokens as there are."""
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
 def op5_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_cascade.cascade(_table(spark, sf_dir, "documents"))
 
 
+def op6_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op7_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -37,7 +66,8 @@ def op10_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_mil_toxicity, op5_rule_cascade, op7_compression_quality, op8_va_search, op9_url_rules, op10_covering_simhash,
+    op1_surrogates, op2_nnls_packing, op3_mil_toxicity, op4_hierarchical_mixing, op5_rule_cascade, op6_maxent_lm,
+    op7_compression_quality, op8_va_search, op9_url_rules, op10_covering_simhash,
 )}
 
 ORACLE_SQL = {

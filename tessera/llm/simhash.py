@@ -23,6 +23,7 @@ from tessera.storage import materialize
 #: Buckets up to this size are compared pair by pair; larger ones by stars around shared neighbours.
 PAIRWISE_BUCKET = 32
 _BLOCK = 1 << 15
+_CACHE = 300_000
 
 
 def fingerprint(text: str | None, shingle: int) -> int:
@@ -157,3 +158,121 @@ def near_duplicates(
     return marked.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+class _WordBits(dict):
+    """word -> 32 hashed bytes; emptied once it holds too many words."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= _CACHE:
+            self.clear()
+        self[word] = made = xxhash.xxh3_128_digest(word, 1) + xxhash.xxh3_128_digest(word, 2)
+        return made
+
+
+def word_prints(text: str | None, bits: _WordBits) -> list[int]:
+    """Four independent 64-bit SimHashes of the set of a text's words."""
+    words = set((text or "").encode("utf-8", "surrogatepass").lower().split())
+    ones = np.zeros(256, dtype=np.int64)
+    digests = [bits[w] for w in words]
+    for at in range(0, len(digests), _BLOCK):
+        part = np.frombuffer(b"".join(digests[at : at + _BLOCK]), dtype=np.uint8)
+        ones += np.unpackbits(part).reshape(-1, 256).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(words)).view(">i8").astype(np.int64).tolist()
+
+
+def _shingles(text: str, width: int) -> set[bytes]:
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+
+
+def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Links ``(src, dst)`` between different texts whose word shingles have a Jaccard similarity of
+    ``similarity`` or more; all rows of a node of ``texts(node, text)`` have the same text.
+
+    A text has four SimHashes over its set of words, because an edit changes one word but several
+    shingles.  Texts that meet in a bucket of the covering masks of one of them are candidates and
+    are compared exactly, on all shingles.  In a bucket of at most ``PAIRWISE_BUCKET`` texts all pairs are
+    candidates; in a larger one each text is compared with the first and the last only, which is
+    linear, and the other masks and prints give a link missed here further chances.
+    """
+
+    @F.pandas_udf("array<long>")
+    def prints(column: pd.Series) -> pd.Series:
+        bits = _WordBits()
+        return pd.Series([word_prints(t, bits) for t in column], dtype=object)
+
+    marked = materialize(
+        texts.select("node", prints("text").alias("fps")).groupBy("node").agg(F.first("fps").alias("fps")), "word-prints"
+    )
+    keys = [
+        F.xxhash64(F.lit(k * 100 + t), F.col("fps")[k].bitwiseAND(F.lit(_signed(m))))
+        for k in range(4)
+        for t, m in enumerate(covering_masks(3))
+    ]
+    banded = marked.select("node", F.explode(F.array(*keys)).alias("key"))
+    sizes = banded.groupBy("key").agg(
+        F.count(F.lit(1)).alias("size"), F.min("node").alias("first"), F.max("node").alias("last")
+    )
+    shared = materialize(banded.join(sizes.filter("size > 1"), "key"), "buckets")
+    small = shared.filter(F.col("size") <= PAIRWISE_BUCKET)
+    pairs = (
+        small.alias("a")
+        .join(small.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")))
+        .select(F.col("a.node").alias("src"), F.col("b.node").alias("dst"))
+    )
+    for hub in ("first", "last"):
+        crowd = shared.filter((F.col("size") > PAIRWISE_BUCKET) & (F.col("node") != F.col(hub)))
+        pairs = pairs.unionByName(crowd.select(F.least("node", hub).alias("src"), F.greatest("node", hub).alias("dst")))
+    pairs = materialize(pairs.distinct(), "candidates")
+    wanted = pairs.select(F.col("src").alias("node")).unionByName(pairs.select(F.col("dst").alias("node"))).distinct()
+    own = texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    own = materialize(own, "candidate-texts")
+
+    @F.pandas_udf("double")
+    def jaccard(left: pd.Series, right: pd.Series) -> pd.Series:
+        out = []
+        for a, b in zip(left, right, strict=True):
+            x, y = _shingles(a, shingle), _shingles(b, shingle)
+            out.append(len(x & y) / len(x | y))
+        return pd.Series(out, dtype="float64")
+
+    both = pairs.join(own.select(F.col("node").alias("src"), F.col("text").alias("a")), "src")
+    both = both.join(own.select(F.col("node").alias("dst"), F.col("text").alias("b")), "dst")
+    return both.filter(jaccard("a", "b") >= similarity).select("src", "dst")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that stay if each group of near copies keeps its smallest doc_id.
+
+    Groups are the connected components of equal texts and of the links of ``similar_texts``.  Texts
+    are told apart by their 64-bit XXH64; a null text counts as empty, and all empty texts are one
+    group.  Null doc_ids come last in a group.  Of rows equal in doc_id and text one stays.  An empty
+    table stays empty; all columns are returned as they are.
+    """
+    columns = docs.columns
+    rows = docs.withColumn("__node", F.xxhash64(F.coalesce("text", F.lit(""))))
+    # Null ids sort last: (is null, id) is compared as a pair.
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "times", "node")
+    nodes = materialize(
+        rows.groupBy(F.col("__node").alias("node"), "doc_id")
+        .agg(F.count(F.lit(1)).alias("times"))
+        .groupBy("node")
+        .agg(F.min(order).alias("head")),
+        "nodes",
+    )
+    texts = rows.select(F.col("__node").alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+    groups = connected_components(similar_texts(texts, shingle, similarity))
+    groups = nodes.join(groups, "node", "left").select("head", F.col("component"), F.col("node"))
+    linked = groups.filter("component IS NOT NULL").groupBy("component").agg(F.min("head").alias("head")).select("head")
+    keepers = materialize(
+        groups.filter("component IS NULL").select("head").unionByName(linked).select("head.node", "head.doc_id", "head.times"),
+        "keepers",
+    )
+    same = (F.col("__node") == F.col("k.node")) & F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))
+    once = rows.alias("d").join(keepers.filter("times = 1").alias("k"), same, "left_semi").select(*columns)
+    if not keepers.filter("times > 1").limit(1).count():
+        return once
+    several = rows.alias("d").join(keepers.filter("times > 1").alias("k"), same, "left_semi")
+    one = several.groupBy("__node").agg(F.first(F.struct(*columns)).alias("row")).select("row.*")
+    return once.unionByName(one)
