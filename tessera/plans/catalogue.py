@@ -246,7 +246,7 @@ def order_skip_limit(g):
     rows = g.label_scan("Customer").select("c_custkey", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("big"))
     top = rows.orderBy(fn.asc(F.col("big")), "c_custkey").limit(45)
     order = Window.orderBy(fn.asc(F.col("big")), "c_custkey")
-    return top.withColumn("place", F.row_number().over(order)).filter("place > 5")
+    return top.withColumn("place", F.row_number().over(order).cast("long")).filter("place > 5")
 
 
 @query("SELECT c_mktsegment AS segment, count(*) AS n FROM customer GROUP BY 1 HAVING avg(c_acctbal) > 0 AND count(*) > 2")
@@ -582,7 +582,7 @@ def create_nodes(g):
     return g.label_scan("Customer").agg(agg.count().alias("nodes"), agg.count(F.col("id"), distinct=True).alias("ids"))
 
 
-@query("SELECT k AS p_size, count(*) AS n FROM (SELECT p_size AS k FROM part UNION ALL SELECT DISTINCT o_custkey % 80 AS k FROM orders WHERE o_custkey % 80 NOT IN (SELECT p_size FROM part)) GROUP BY k")
+@query("SELECT CAST(k AS INTEGER) AS p_size, count(*) AS n FROM (SELECT p_size AS k FROM part UNION ALL SELECT DISTINCT o_custkey % 80 AS k FROM orders WHERE o_custkey % 80 NOT IN (SELECT p_size FROM part)) GROUP BY k")
 def merge_nodes(g):
     """MERGE (p:Part {p_size: o.o_custkey % 80}) for every order: a missing size is created once."""
     rows = g.label_scan("Order").select((F.col("o_custkey") % 80).cast("int").alias("p_size"))
