@@ -4,7 +4,7 @@ Two fingerprints that differ in at most ``radius`` bits are guaranteed to agree
 mask, so the candidate search misses nothing:
 
 * every bit position gets a non-zero vector of ``radius + 1`` bits;
-* mask ``v`` (one for each non-zero ``v``) keeps the positions whose vector is orthogonal to ``v``;
+* mask ``v`` (one for each non-zero ``v``) keeps the positions whose vector is not orthogonal to ``v``;
 * the vectors of at most ``radius`` differing positions span less than the whole space, so some
   ``v`` is orthogonal to all of them, and the mask of that ``v`` hides every difference.
 """
@@ -49,7 +49,7 @@ def covering_masks(radius: int, bits: int = 64) -> list[int]:
     family = (1 << (radius + 1)) - 1
     vectors = [1 + i % family for i in range(bits)]
     return [
-        sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() % 2 == 0)
+        sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() % 2 == 1)
         for v in range(1, family + 1)
     ]
 
