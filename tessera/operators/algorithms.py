@@ -339,4 +339,4 @@ def label_propagation_in_order(p: Projection, max_iterations: int = 100, max_edg
                 break
         return pd.DataFrame({"nodeId": list(label.keys()), "communityId": list(label.values())})
 
-    return lists.groupBy(F.lit(0)).applyInPandas(lambda frame: run(frame[["id", "near"]]), "nodeId long, communityId long")
+    return lists.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, "nodeId long, communityId long")
