@@ -13,6 +13,7 @@ follows from its rank among the remainders of its length, so no task ever holds
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -156,21 +157,22 @@ def _before(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFram
 def _lengths(docs: DataFrame, window: int, end: int, tokenizer: str | None) -> DataFrame:
     kind = "n long, full array<long>, rest long, blocks array<int>"
 
+    def lengths(text: str | None, encoder: _Encoder) -> tuple:
+        data = memoryview(encoder.ids(text or "", end))
+        cut = len(data) // (4 * window) * 4 * window
+        rest = data[cut:]
+        return (
+            len(data) // 4,
+            [zlib.crc32(data[i : i + 4 * window]) for i in range(0, cut, 4 * window)],
+            zlib.crc32(rest),
+            [_signed(zlib.crc32(rest[i : i + 4 * UNIT])) for i in range(0, len(rest), 4 * UNIT)],
+        )
+
     @F.pandas_udf(kind)
-    def measure(texts: pd.Series) -> pd.DataFrame:
+    def measure(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = _Encoder(tokenizer)
-        rows = []
-        for text in texts:
-            data = memoryview(encoder.ids(text or "", end))
-            cut = len(data) // (4 * window) * 4 * window
-            rest = data[cut:]
-            rows.append((
-                len(data) // 4,
-                [zlib.crc32(data[i : i + 4 * window]) for i in range(0, cut, 4 * window)],
-                zlib.crc32(rest),
-                [_signed(zlib.crc32(rest[i : i + 4 * UNIT])) for i in range(0, len(rest), 4 * UNIT)],
-            ))
-        return pd.DataFrame(rows, columns=["n", "full", "rest", "blocks"])
+        for texts in batches:
+            yield pd.DataFrame([lengths(t, encoder) for t in texts], columns=["n", "full", "rest", "blocks"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), measure("text").alias("m"))
     return rows.select("doc_id", "m.*", F.rand(11).alias("dice"))
