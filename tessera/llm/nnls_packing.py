@@ -79,20 +79,19 @@ def fillings(units: int) -> list[tuple[int, ...]]:
 
 def nnls(columns: np.ndarray, target: np.ndarray, rounds: int = 1000) -> np.ndarray:
     """x >= 0 that minimises ``|columns @ x - target|``: active sets on the normal equations."""
-    gram, pull = columns.T @ columns, columns.T @ target
     x = np.zeros(columns.shape[1])
     active: list[int] = []
-    small = 1e-9 * max(1.0, float(np.abs(pull).max(initial=0)))
+    small = 1e-9 * max(1.0, float(np.abs(columns.T @ target).max(initial=0)))
     for _ in range(rounds):
-        slope = pull - gram[:, active] @ x[active]
+        slope = columns.T @ (target - columns[:, active] @ x[active])
         slope[active] = -np.inf
         best = int(np.argmax(slope))
         if slope[best] <= small:
             break
         active.append(best)
         while True:
-            inner = gram[np.ix_(active, active)] + 1e-9 * np.eye(len(active))
-            z = np.linalg.solve(inner, pull[active])
+            part = columns[:, active]
+            z = np.linalg.solve(part.T @ part + 1e-9 * np.eye(len(active)), part.T @ target)
             if z.min() > 0:
                 x[active] = z
                 break
