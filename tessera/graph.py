@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +22,35 @@ def bind(table: DataFrame, variable: str) -> DataFrame:
     return table.select(*(F.col(c).alias(f"{variable}__{c}") for c in table.columns))
 
 
+class Tables(Mapping):
+    """Tables by name, each opened when it is first asked for: a query reads only what it names."""
+
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]]) -> None:
+        self._makers = makers
+        self._open: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._open:
+            self._open[name] = self._makers[name]()
+        return self._open[name]
+
+    def __contains__(self, name: object) -> bool:
+        return name in self._makers
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+    def having(self, name: str, table: DataFrame) -> Tables:
+        return Tables({**self._makers, name: lambda: table})
+
+
+def _having(tables: Mapping[str, DataFrame], name: str, table: DataFrame) -> Mapping[str, DataFrame]:
+    return tables.having(name, table) if isinstance(tables, Tables) else {**tables, name: table}
+
+
 @dataclass(frozen=True)
 class PropertyGraph:
     """``nodes[label]`` has ``id`` and properties; ``rels[type]`` has ``rid``, ``src``, ``dst`` and properties.
@@ -32,16 +61,16 @@ class PropertyGraph:
     """
 
     spark: SparkSession
-    nodes: dict[str, DataFrame]
-    rels: dict[str, DataFrame]
+    nodes: Mapping[str, DataFrame]
+    rels: Mapping[str, DataFrame]
     links: dict[str, tuple[frozenset, frozenset]] = field(default_factory=dict)
 
     def with_nodes(self, label: str, table: DataFrame) -> PropertyGraph:
-        return replace(self, nodes={**self.nodes, label: table})
+        return replace(self, nodes=_having(self.nodes, label, table))
 
     def with_rels(self, kind: str, table: DataFrame, ends: tuple[Iterable, Iterable] | None = None) -> PropertyGraph:
         links = {**self.links, kind: (frozenset(ends[0]), frozenset(ends[1]))} if ends else self.links
-        return replace(self, rels={**self.rels, kind: table}, links=links)
+        return replace(self, rels=_having(self.rels, kind, table), links=links)
 
     def label_scan(self, label: str) -> DataFrame:
         """Nodes of one label; a label that nothing has gives no rows."""
@@ -126,33 +155,47 @@ def from_tables(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     def table(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-    nodes = {}
-    for label, (name, key) in _TABLES.items():
+    def nodes_of(label: str) -> DataFrame:
+        name, key = _TABLES[label]
         rows = table(name)
         if label == "User":
             rows = rows.select("user_id").distinct()
-        nodes[label] = rows.withColumn("id", node_id(label, key))
-    graph = PropertyGraph(spark, nodes, {})
+        return rows.withColumn("id", node_id(label, key))
 
     def keyed(name: str, number: int, key: str, start: tuple[str, str], stop: tuple[str, str]) -> DataFrame:
         return table(name).select(
             (F.col(key).cast("long") + F.lit(number * SPACE)).alias("rid"), node_id(*start).alias("src"), node_id(*stop).alias("dst")
         )
 
-    graph = graph.with_rels("IN_REGION", keyed("nation", 1, "n_nationkey", ("Nation", "n_nationkey"), ("Region", "n_regionkey")), (["Nation"], ["Region"]))
-    in_nation = keyed("customer", 2, "c_custkey", ("Customer", "c_custkey"), ("Nation", "c_nationkey")).unionByName(
-        keyed("supplier", 3, "s_suppkey", ("Supplier", "s_suppkey"), ("Nation", "s_nationkey"))
-    )
-    graph = graph.with_rels("IN_NATION", in_nation, (["Customer", "Supplier"], ["Nation"]))
-    graph = graph.with_rels("PLACED", keyed("orders", 4, "o_orderkey", ("Customer", "o_custkey"), ("Order", "o_orderkey")), (["Customer"], ["Order"]))
-    lines = table("lineitem")
-    contains = lines.select(
-        F.xxhash64(*lines.columns).alias("rid"), node_id("Order", "l_orderkey").alias("src"), node_id("Part", "l_partkey").alias("dst"), *lines.columns
-    )
-    graph = graph.with_rels("CONTAINS", contains, (["Order"], ["Part"]))
-    supplies = lines.select("l_suppkey", "l_partkey").distinct()
-    supplies = supplies.select(
-        F.xxhash64("l_suppkey", "l_partkey").alias("rid"), node_id("Supplier", "l_suppkey").alias("src"), node_id("Part", "l_partkey").alias("dst")
+    def in_nation() -> DataFrame:
+        customers = keyed("customer", 2, "c_custkey", ("Customer", "c_custkey"), ("Nation", "c_nationkey"))
+        return customers.unionByName(keyed("supplier", 3, "s_suppkey", ("Supplier", "s_suppkey"), ("Nation", "s_nationkey")))
+
+    def contains() -> DataFrame:
+        lines = table("lineitem")
+        ends = node_id("Order", "l_orderkey").alias("src"), node_id("Part", "l_partkey").alias("dst")
+        return lines.select(F.xxhash64(*lines.columns).alias("rid"), *ends, *lines.columns)
+
+    def supplies() -> DataFrame:
+        pairs = table("lineitem").select("l_suppkey", "l_partkey").distinct()
+        ends = node_id("Supplier", "l_suppkey").alias("src"), node_id("Part", "l_partkey").alias("dst")
+        return pairs.select(F.xxhash64("l_suppkey", "l_partkey").alias("rid"), *ends)
+
+    rels = {
+        "IN_REGION": lambda: keyed("nation", 1, "n_nationkey", ("Nation", "n_nationkey"), ("Region", "n_regionkey")),
+        "IN_NATION": in_nation,
+        "PLACED": lambda: keyed("orders", 4, "o_orderkey", ("Customer", "o_custkey"), ("Order", "o_orderkey")),
+        "CONTAINS": contains,
+        "SUPPLIES": supplies,
+        "DID": lambda: keyed("events", 6, "event_id", ("User", "user_id"), ("Event", "event_id")),
+    }
+    links = {
+        "IN_REGION": ("Nation", "Region"), "IN_NATION": ("Customer Supplier", "Nation"), "PLACED": ("Customer", "Order"),
+        "CONTAINS": ("Order", "Part"), "SUPPLIES": ("Supplier", "Part"), "DID": ("User", "Event"),
+    }
+    return PropertyGraph(
+        spark,
+        Tables({label: lambda label=label: nodes_of(label) for label in _TABLES}),
+        Tables(rels),
+        {kind: (frozenset(a.split()), frozenset(b.split())) for kind, (a, b) in links.items()},
     )
-    graph = graph.with_rels("SUPPLIES", supplies, (["Supplier"], ["Part"]))
-    return graph.with_rels("DID", keyed("events", 6, "event_id", ("User", "user_id"), ("Event", "event_id")), (["User"], ["Event"]))
