@@ -194,7 +194,7 @@ def test_lm_base_score_and_gain(docs, texts):
 
 
 def test_lm_probabilities_sum_to_one():
-    words = [f"w{k}" for k in range(150)]
+    words = [b"w%d" % k for k in range(150)]
     counts = np.arange(150, 0, -1).astype(float)
     model = maxent_lm._unigram(counts, 100, int(counts.sum()), 150, 32)
     rng = np.random.default_rng(0)
