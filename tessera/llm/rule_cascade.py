@@ -33,11 +33,11 @@ RULES = [
     Rule("short_words", "word_chars < 2.0 * n_words"),
     Rule("long_words", "word_chars > 16.0 * n_words"),
     Rule("repeated_lines", "n_dup_lines > 0 AND 10 * n_dup_lines > 3 * size(filter(split(t, '\\n'), x -> rlike(x, '[^ \\\\t-\\\\r]')))"),
-    Rule("shouting", "2 * length(regexp_replace(t, '[^\\\\p{Lu}]', '')) > word_chars"),
-    Rule("few_letters", "2 * length(regexp_replace(t, '[^\\\\p{L}]', '')) < word_chars"),
+    Rule("shouting", "2 * length(regexp_replace(t, '[^\\\\p{Lu}]+', '')) > word_chars"),
+    Rule("few_letters", "2 * length(regexp_replace(t, '[^\\\\p{L}]+', '')) < word_chars"),
     Rule("exclamations", "length(t) - length(replace(t, '!', '')) > 0.3 * n_words"),
     Rule("few_distinct_words", "n_words >= 30 AND 10 * size(array_distinct(words)) < n_words"),
-    Rule("ellipsis_lines", "n_words > 0 AND 3 * size(filter(split(t, '\\n'), x -> rtrim(x) LIKE '%...')) > size(split(t, '\\n'))"),
+    Rule("ellipsis_lines", "instr(t, '...') > 0 AND n_words > 0 AND 3 * size(filter(split(t, '\\n'), x -> rtrim(x) LIKE '%...')) > size(split(t, '\\n'))"),
 ]
 
 
@@ -55,13 +55,13 @@ def _let(name: str, value: str, body: str) -> str:
 def repeat_words(words: str, width: int = 5) -> str:
     """SQL for the number of words inside ``width``-word windows that occur twice or more.
 
-    Windows are compared by their 64-bit XXH64.  Texts without a repeated window, found by a hash
+    Windows are compared by the 64-bit XXH64 of their words' XXH64s.  Texts without a repeated window, found by a hash
     set, stop there; for the rest the windows are sorted by hash, the ones equal to a neighbour
     are put back in text order, and the stretches they cover are added up.
     """
     windows = (
         f"IF(size(w) < {width}, CAST(array() AS array<bigint>), transform(sequence(0, size(w) - {width}),"
-        f" i -> xxhash64(array_join(slice(w, i + 1, {width}), ' '))))"
+        f" i -> xxhash64({', '.join(f'get(w, i + {k})' for k in range(width))})))"
     )
     spots = "sort_array(transform(hashes, (h, i) -> struct(h AS h, i AS i)))"
     places = (
@@ -74,7 +74,7 @@ def repeat_words(words: str, width: int = 5) -> str:
     )
     return _let(
         "w",
-        words,
+        f"transform({words}, x -> xxhash64(x))",
         _let(
             "hashes",
             windows,
