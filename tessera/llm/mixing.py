@@ -126,9 +126,10 @@ def mix(
         F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("print"),
         *(F.col(c).alias(f"carried_{c}") for c in carry),
     ).withColumn("domain", domain_of(F.col("source")))
-    if not carry:
-        rows = materialize(rows, "tokens")
-    leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
+    # Shares and stops come from a narrow copy; only the last pass reads the carried columns.
+    light = materialize(rows.select("doc_id", *LEVELS, "n_tokens", "print"), "tokens")
+    rows = rows if carry else light
+    leaves = light.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
     shares = budgets(materialize(leaves, "leaves"), weights, total, max_epochs).filter("budget > 0 AND tokens > 0")
     shares = materialize(
         shares.withColumn("epochs", F.expr("budget div tokens")).withColumn("rest", F.col("budget") % F.col("tokens")),
@@ -139,8 +140,7 @@ def mix(
         text = F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "print")
         return frame.withColumn("place", F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long"))
 
-    used = placed(rows.join(shares, list(LEVELS)).filter("n_tokens > 0"))
-    partial = used.filter("rest > 0").withColumn("bin", F.expr(f"place div {(1 << 60) // _BINS}"))
+    partial = placed(light.join(shares, list(LEVELS)).filter("n_tokens > 0 AND rest > 0")).withColumn("bin", F.expr(f"place div {(1 << 60) // _BINS}"))
     bins = partial.groupBy(*LEVELS, "rest", "bin").agg(F.sum("n_tokens").alias("t"))
     run = Window.partitionBy(*LEVELS).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.withColumn("before", F.coalesce(F.sum("t").over(run), F.lit(0)))
@@ -154,7 +154,7 @@ def mix(
     )
     stops = materialize(stops, "stops")
 
-    used = used.join(stops, list(LEVELS), "left")
+    used = placed(rows.join(shares, list(LEVELS)).filter("n_tokens > 0")).join(stops, list(LEVELS), "left")
     part = F.expr("CASE WHEN rest = 0 THEN 0L WHEN place < stop THEN n_tokens WHEN place = stop THEN least(n_tokens, last) ELSE 0L END")
     whole = F.when(F.col("epochs") > 0, F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1)).otherwise(F.array().cast("array<long>"))
     times = F.concat(
