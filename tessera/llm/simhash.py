@@ -192,9 +192,10 @@ def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -
 
     A text has four SimHashes over its set of words, because an edit changes one word but several
     shingles.  Texts that meet in a bucket of the covering masks of one of them are candidates and
-    are compared exactly, on all shingles.  In a bucket of at most ``PAIRWISE_BUCKET`` texts all pairs are
-    candidates; in a larger one each text is compared with the first and the last only, which is
-    linear, and the other masks and prints give a link missed here further chances.
+    are compared exactly, on all shingles: first each text with the first of its bucket, then, where
+    a bucket still holds several components, all pairs of different components.  In a bucket of more
+    than ``PAIRWISE_BUCKET`` texts each is compared with the first and the last only, which is linear,
+    and the other masks and prints give a link missed here further chances.
     """
 
     @F.pandas_udf("array<long>")
@@ -215,19 +216,6 @@ def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -
         F.count(F.lit(1)).alias("size"), F.min("node").alias("first"), F.max("node").alias("last")
     )
     shared = materialize(banded.join(sizes.filter("size > 1"), "key"), "buckets")
-    small = shared.filter(F.col("size") <= PAIRWISE_BUCKET)
-    pairs = (
-        small.alias("a")
-        .join(small.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")))
-        .select(F.col("a.node").alias("src"), F.col("b.node").alias("dst"))
-    )
-    for hub in ("first", "last"):
-        crowd = shared.filter((F.col("size") > PAIRWISE_BUCKET) & (F.col("node") != F.col(hub)))
-        pairs = pairs.unionByName(crowd.select(F.least("node", hub).alias("src"), F.greatest("node", hub).alias("dst")))
-    pairs = materialize(pairs.distinct(), "candidates")
-    wanted = pairs.select(F.col("src").alias("node")).unionByName(pairs.select(F.col("dst").alias("node"))).distinct()
-    own = texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    own = materialize(own, "candidate-texts")
 
     @F.pandas_udf("double")
     def jaccard(left: pd.Series, right: pd.Series) -> pd.Series:
@@ -237,9 +225,26 @@ def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -
             out.append(len(x & y) / len(x | y))
         return pd.Series(out, dtype="float64")
 
-    both = pairs.join(own.select(F.col("node").alias("src"), F.col("text").alias("a")), "src")
-    both = both.join(own.select(F.col("node").alias("dst"), F.col("text").alias("b")), "dst")
-    return both.filter(jaccard("a", "b") >= similarity).select("src", "dst")
+    def compared(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"))
+        pairs = materialize(pairs.filter("src <> dst").distinct(), "candidates")
+        wanted = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+        own = texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+        own = materialize(own, "candidate-texts")
+        both = pairs.join(own.select(F.col("node").alias("src"), F.col("text").alias("a")), "src")
+        both = both.join(own.select(F.col("node").alias("dst"), F.col("text").alias("b")), "dst")
+        return materialize(both.filter(jaccard("a", "b") >= similarity).select("src", "dst"), "similar")
+
+    stars = compared(shared.select(F.col("node").alias("x"), F.col("first").alias("y")))
+    known = connected_components(stars)
+    placed = shared.join(known, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high")
+    apart = materialize(placed.join(mixed.select("key"), "key", "left_semi").filter("node <> first"), "apart")
+    small = apart.filter(F.col("size") <= PAIRWISE_BUCKET)
+    meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.part") != F.col("b.part"))
+    pairs = small.alias("a").join(small.alias("b"), meet).select(F.col("a.node").alias("x"), F.col("b.node").alias("y"))
+    crowd = apart.filter(F.col("size") > PAIRWISE_BUCKET).select(F.col("node").alias("x"), F.col("last").alias("y"))
+    return stars.unionByName(compared(pairs.unionByName(crowd)))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
