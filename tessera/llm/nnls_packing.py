@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tessera.storage import materialize
 
 UNIT = 16
-_CACHE = 500_000
+_CACHE = 600_000
 _ROWS_PER_SALT = 20_000
 
 
@@ -31,7 +31,9 @@ class _Encoder(dict):
     """piece of text without spaces -> its ids as little-endian 32-bit numbers.
 
     The tokenizer drops white space and never joins what it separates, so a text's ids are those of
-    its pieces in a row.  The memory of pieces is emptied once it is full.
+    its pieces in a row.  For the same reason letters before a comma or full stop are a piece of
+    their own, and ASCII pieces are looked up in the lower case the tokenizer gives them.  The
+    memory of pieces is emptied once it is full.
     """
 
     def __init__(self, path: str | None):
@@ -44,8 +46,14 @@ class _Encoder(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= _CACHE:
             self.clear()
-        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        self[piece] = made = np.array(ids, dtype="<u4").tobytes()
+        if piece[-1:] in (",", ".") and piece[:-1].isalpha():
+            made = self[piece[:-1]] + self[piece[-1]]
+        elif piece.isascii() and "<" not in piece and piece != piece.lower():
+            made = self[piece.lower()]
+        else:
+            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+            made = np.array(ids, dtype="<u4").tobytes()
+        self[piece] = made
         return made
 
     def ids(self, text: str, end: int) -> bytes:
@@ -53,6 +61,16 @@ class _Encoder(dict):
         return b"".join(map(self.__getitem__, pieces)) + np.uint32(end).tobytes()
 
 
+_encoders: dict[str | None, _Encoder] = {}
+
+
+def _encoder(path: str | None) -> _Encoder:
+    """The worker's encoder, which its later tasks use too."""
+    if path not in _encoders:
+        _encoders[path] = _Encoder(path)
+    return _encoders[path]
+
+
 def _signed(crc: int) -> int:
     return crc - (1 << 32) if crc >> 31 else crc
 
@@ -169,7 +187,7 @@ def _lengths(docs: DataFrame, window: int, end: int, tokenizer: str | None) -> D
 
     @F.pandas_udf(kind)
     def measure(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        encoder = _Encoder(tokenizer)
+        encoder = _encoder(tokenizer)
         for texts in batches:
             yield pd.DataFrame([lengths(t, encoder) for t in texts], columns=["n", "full", "rest", "blocks"])
 
