@@ -62,8 +62,10 @@ class _Scanner:
     def _read(self, q: int, ids: np.ndarray, vectors: np.ndarray, middle: np.ndarray) -> None:
         scores, names = self.best[q]
         certain = scores[-1] if len(scores) == self.k else None
-        if len(middle) > self.k + 1:  # one of them may be the query's own row
-            by_cells = np.partition(middle, len(middle) - self.k - 1)[-self.k - 1] - self.slack[q]
+        own = ids == self.ids[q]  # a hot query may have any number of rows here
+        middle = np.where(own, -np.inf, middle)
+        if len(middle) - np.count_nonzero(own) >= self.k:
+            by_cells = np.partition(middle, len(middle) - self.k)[-self.k] - self.slack[q]
             certain = by_cells if certain is None else max(certain, by_cells)
         upper = middle + self.slack[q]
         todo = np.arange(len(middle)) if certain is None else np.flatnonzero(upper >= certain)
@@ -72,7 +74,7 @@ class _Scanner:
             if len(scores) == self.k and upper[todo[at]] < scores[-1]:
                 break
             some = todo[at : at + _CHUNK]
-            some = some[ids[some] != self.ids[q]]
+            some = some[~own[some]]
             scores = np.concatenate([scores, vectors[some] @ self.vectors[q]])
             names = np.concatenate([names, ids[some]])
             order = np.lexsort((names, -scores))[: self.k]

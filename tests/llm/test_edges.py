@@ -113,6 +113,15 @@ def test_search_on_odd_vectors(spark):
     assert va_search.exact_top_k(frame.filter("false"), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_search_with_a_repeated_query(spark):
+    rows = [(0, [10.0, 10.0])] * 50 + [(i, [1.0 + i / 100, 1.0]) for i in range(1, 41)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = va_search.exact_top_k(frame, F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == list(range(40, 30, -1))
+    few = va_search.exact_top_k(frame.filter("vec_id < 6"), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [r["vec_id"] for r in few] == [5, 4, 3, 2, 1]
+
+
 def test_pipeline_stages_on_odd_rows(spark, docs, tmp_path):
     rows = [(i, 1, 0) for i in (1, 2, 3, 5, 6, 7)]
     spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
