@@ -14,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.components import connected_components
@@ -194,8 +194,8 @@ def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     shingles.  Texts that meet in a bucket of the covering masks of one of them are candidates and
     are compared exactly, on all shingles: first each text with the first of its bucket, then, where
     a bucket still holds several components, all pairs of different components.  In a bucket of more
-    than ``PAIRWISE_BUCKET`` texts each is compared with the first and the last only, which is linear,
-    and the other masks and prints give a link missed here further chances.
+    than ``PAIRWISE_BUCKET`` texts each is compared with the first and the last; the texts of those
+    that hold several components even then go through ``_prefix_pairs``, which misses no link.
     """
 
     @F.pandas_udf("array<long>")
@@ -243,8 +243,65 @@ def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     small = apart.filter(F.col("size") <= PAIRWISE_BUCKET)
     meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.part") != F.col("b.part"))
     pairs = small.alias("a").join(small.alias("b"), meet).select(F.col("a.node").alias("x"), F.col("b.node").alias("y"))
-    crowd = apart.filter(F.col("size") > PAIRWISE_BUCKET).select(F.col("node").alias("x"), F.col("last").alias("y"))
-    return stars.unionByName(compared(pairs.unionByName(crowd)))
+    crowded = apart.filter(F.col("size") > PAIRWISE_BUCKET)
+    crowd = crowded.select(F.col("node").alias("x"), F.col("last").alias("y"))
+    links = stars.unionByName(compared(pairs.unionByName(crowd)))
+    if not crowded.limit(1).count():
+        return links
+
+    def mixed_groups(rows: DataFrame) -> DataFrame:
+        """Rows of the keys that still hold several components, with the component as ``part``."""
+        rows = rows.join(connected_components(links), "node", "left")
+        rows = rows.withColumn("part", F.coalesce("component", "node")).drop("component")
+        several = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high")
+        return rows.join(several.select("key"), "key", "left_semi")
+
+    unsettled = materialize(mixed_groups(crowded.select("key", "node")).select("node").distinct(), "unsettled")
+    own = texts.join(unsettled, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    prefixes = materialize(_prefixes(own, shingle, similarity), "prefixes")
+    hubs = mixed_groups(prefixes)
+    first = hubs.groupBy("key").agg(F.min(F.struct("node", "part", "n", "place", "short")).alias("hub")).select("key", "hub.*")
+    links = links.unionByName(compared(_prefix_pairs(first, hubs, similarity)))
+    rest = materialize(mixed_groups(prefixes), "prefixes")
+    return links.unionByName(compared(_prefix_pairs(rest, rest, similarity)))
+
+
+def _prefixes(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``(node, key, n, place, short)``: the rarest shingles of each text of ``texts(node, text)``.
+
+    ``n`` is the number of a text's shingles and ``place`` the rank of one from the rarest, from 1.
+    Two sets of ``a <= b`` shingles with the Jaccard similarity t share at least t * b and
+    2t / (1 + t) * a of them, so the first shingle they share is among the rarest
+    b - ceil(t * b) + 1 of the larger set and, marked ``short``, a - ceil(2t / (1 + t) * a) + 1 of the smaller.
+    """
+
+    @F.pandas_udf("array<long>")
+    def hashed(column: pd.Series) -> pd.Series:
+        made = [np.frombuffer(b"".join(map(xxhash.xxh64_digest, _shingles(t, shingle))), dtype=">i8") for t in column]
+        return pd.Series([np.unique(h).astype(np.int64) for h in made], dtype=object)
+
+    sets = materialize(texts.select("node", hashed("text").alias("keys")), "shingles")
+    rows = sets.select("node", F.size("keys").alias("n"), F.explode("keys").alias("key"))
+    rows = rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("holders")), "key")
+    order = Window.partitionBy("node").orderBy("holders", "key")
+    rows = rows.withColumn("place", F.row_number().over(order))
+    twice = 2 * similarity / (1 + similarity)
+    return rows.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).filter("holders > 1").select(
+        "node", "key", "n", "place", (F.col("place") <= F.col("n") - F.ceil(F.col("n") * twice - 1e-9) + 1).alias("short")
+    )
+
+
+def _prefix_pairs(left: DataFrame, right: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``(x, y)`` of different parts that share a key and whose numbers let them be similar enough."""
+    small, large = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
+    shared = 1 + F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
+    need = (small + large) * (similarity / (1 + similarity)) - 1e-9
+    short = F.when(F.col("a.n") < F.col("b.n"), F.col("a.short")).when(F.col("a.n") > F.col("b.n"), F.col("b.short"))
+    meet = (
+        (F.col("a.key") == F.col("b.key")) & (F.col("a.part") != F.col("b.part"))
+        & (small >= large * similarity - 1e-9) & (shared >= need) & short.otherwise(F.col("a.short") & F.col("b.short"))
+    )
+    return left.alias("a").join(right.alias("b"), meet).select(F.col("a.node").alias("x"), F.col("b.node").alias("y"))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

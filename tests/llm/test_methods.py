@@ -107,6 +107,29 @@ def test_dedup_stage_drops_near_copies(spark):
     assert {r["doc_id"] for r in simhash.drop_near_duplicates(frame).collect()} == kept
 
 
+def test_crowded_buckets_miss_no_near_copy(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PAIRWISE_BUCKET", 2)
+    chance = random.Random(5)
+    rows = []
+    for _ in range(40):  # one vocabulary, so all texts meet in the same buckets
+        words = [f"w{k}" for k in range(60)]
+        chance.shuffle(words)
+        rows.append(words)
+        for _ in range(chance.randrange(4)):
+            words = list(chance.choice(rows[-2:]))
+            k = chance.randrange(56)
+            words[k], words[k + chance.randrange(1, 3)] = words[k + 1], words[k]
+            rows.append(words)
+    chance.shuffle(rows)
+    texts = sorted({" ".join(r) for r in rows})
+    sets = [simhash._shingles(t, 5) for t in texts]
+    linked = [(i, j) for j in range(len(texts)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    heads = components(range(len(texts)), linked)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert 20 < len(set(heads.values())) < len(texts)
+    assert {r["doc_id"] for r in simhash.drop_near_duplicates(frame).collect()} == set(heads.values())
+
+
 def test_rules_against_brute_force(docs, texts):
     for r in rule_cascade.cascade(docs).collect():
         t = texts[r["doc_id"]]
