@@ -40,13 +40,16 @@ _SYLLABLES = {
 }
 _TITLE = "|".join(sorted((re.escape(t) for t in TITLES), key=len, reverse=True))
 _NAME = r"[^\W\d_][^\W\d_'’-]*"
-_TRIGGER = re.compile(rf"[0-9@]|\b(?:{_TITLE})\s")
+_SECRET = r"(?:password|passwd|token|api_key)(?:=|[ \t]*=(?!=)[ \t]*)"
+_TRIGGER = re.compile(rf"[0-9@]|AKIA|{_SECRET}|\b(?:{_TITLE})\s")
+_WORD = re.compile(r"\b[^\W\d_]+\b")
+_PLAIN = re.compile(r"(?P<key>AKIA[A-Z0-9]{16})|(?P<hash>(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,64})")
 _FIND = re.compile(
     "|".join(
         [
             r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)",
             r"(?P<key>\bAKIA[A-Z0-9]{16}\b)",
-            r"(?P<secret>(?<=password=)\S+|(?<=passwd=)\S+|(?<=token=)\S+|(?<=api_key=)\S+)",
+            rf"{_SECRET}(?:\"(?P<double>[^\"\n]+)\"|'(?P<single>[^'\n]+)'|(?P<secret>\S+))",
             r"(?P<hash>\b(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,64}\b)",
             r"(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b)",
             r"(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d))",
@@ -71,11 +74,14 @@ def find_entities(text: str) -> list[tuple[int, int, str, str]]:
     """``(start, end, type, entity)`` in text order; ``entity`` is the mention without its format.
 
     A title followed by two capitalised words is a given name and a surname, by one a surname.
-    Names count word by word, so a later mention by surname alone is the same entity.
+    Names count word by word, so a mention by surname alone is the same entity; once a name is
+    found, its other capitalised mentions in the text count without a title too.  A secret may stand
+    in quotes, which aren't part of it.
     """
     if not _TRIGGER.search(text):
         return []
     found = []
+    names: dict[str, str] = {}
     for m in _FIND.finditer(text):
         if m["title"]:
             first, last = m["first"], m["last"]
@@ -95,15 +101,36 @@ def find_entities(text: str) -> list[tuple[int, int, str, str]]:
         if kind == "secret":
             mention = mention.rstrip(".,;")
             end = start + len(mention)
+        if kind in ("secret", "double", "single"):
+            plain = _PLAIN.fullmatch(mention)
+            kind = plain.lastgroup if plain else "secret"
         if kind in ("card", "ssn", "phone"):
             entity = re.sub(r"\D", "", mention)
         else:
             entity = mention.replace(" ", "") if kind == "iban" else mention.lower() if kind == "email" else mention
         if entity:
             found.append((start, end, kind, entity))
+    for _, _, kind, entity in found:
+        if kind.startswith(("given", "surname")):
+            names.setdefault(entity, kind)
+    if names:
+        found += _bare_names(text, names, found)
+        found.sort()
     return found
 
 
+def _bare_names(text: str, names: dict[str, str], found: list) -> list[tuple[int, int, str, str]]:
+    """Capitalised mentions of ``names`` outside the spans ``found``, which are in text order."""
+    out, k = [], 0
+    for m in _WORD.finditer(text):
+        start, end = m.span()
+        while k < len(found) and found[k][1] <= start:
+            k += 1
+        if (k == len(found) or found[k][0] >= end) and m[0][0].isupper() and m[0].lower() in names:
+            out.append((start, end, names[m[0].lower()], m[0].lower()))
+    return out
+
+
 def _stream(secret: bytes, *parts: str) -> Iterator[int]:
     """Endless keyed numbers below 2**32."""
     counter = 0

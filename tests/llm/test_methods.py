@@ -280,6 +280,25 @@ def test_surrogates_keep_gender_script_and_check_digits():
     assert surrogates._luhn_digit(digits[:-1]) == digits[-1] and re.search(r"\d{4} \d{4} \d{4} \d{4}", out)
 
 
+def test_surrogates_without_digits():
+    secrets = ["password=hunterx", "passwd=hunterx;", "token = 'hunterx'", 'api_key="hunterx"', "AKIA" + "ABCDEFGH" * 2, "password= hunterx"]
+    for text in secrets:
+        kind, entity = ("key", text) if text.startswith("AKIA") else ("secret", "hunterx")
+        assert [x[2:] for x in surrogates.find_entities(f"set {text} here")] == [(kind, entity)]
+        out, _ = surrogates.replace_entities(text, lambda kind, e: surrogates.propose(b"k", kind, e, 0))
+        assert entity not in out and len(out) == len(text)
+    assert surrogates.find_entities("the token == other") == []
+
+
+def test_surrogates_replace_bare_mentions():
+    text = "Berg came. Dr. Anna Berg spoke; then BERG left with Anna, past an iceberg and a berg"
+    found = [(text[a:b], kind) for a, b, kind, _ in surrogates.find_entities(text)]
+    given, last = "given f latin", "surname latin"
+    assert found == [("Berg", last), ("Anna", given), ("Berg", last), ("BERG", last), ("Anna", given)]
+    out, n = surrogates.replace_entities(text, lambda kind, e: "Elena" if kind == given else "morsel")
+    assert n == 5 and out == "Morsel came. Dr. Elena Morsel spoke; then MORSEL left with Elena, past an iceberg and a berg"
+
+
 def test_mixing_budgets_and_prefixes(spark):
     rows = [(i, f"src{i % 7}", "en" if i % 3 else "de", " ".join(["w"] * (1 + i % 50))) for i in range(700)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")
