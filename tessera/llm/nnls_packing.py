@@ -2,8 +2,8 @@
 
 Documents are cut at the window size; what is left of each is a remainder shorter than a window.
 Remainders are counted in units of 16 tokens.  All ways to fill a window with up to three
-remainders are columns of a system whose right side is the histogram; its non-negative solution,
-rounded down, says how often each way is used.  Remainders that are left over are laid end to end
+remainders, and with short ones of one length and one more, are columns of a system whose right side
+is the histogram; its non-negative solution, rounded down, says how often each way is used.  Remainders that are left over are laid end to end
 and cut at window borders.
 
 Only the histogram (one number for each unit) reaches the driver.  Which window a document goes to
@@ -12,6 +12,7 @@ follows from its rank among the remainders of its length, so no task ever holds
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,17 +24,28 @@ from pyspark.sql import functions as F
 from tessera.storage import materialize
 
 UNIT = 16
-_CACHE = 600_000
+_CACHE = 400_000
 _ROWS_PER_SALT = 20_000
 
 
+# How the tokenizer's byte level writes bytes, and its pattern for pieces of these letters.
+_PLAIN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_OTHER_BYTES = [b for b in range(256) if b not in set(_PLAIN_BYTES)]
+_BYTE_LETTERS = {**{b: chr(b) for b in _PLAIN_BYTES}, **{b: chr(256 + k) for k, b in enumerate(_OTHER_BYTES)}}
+_LATIN = "a-zß-öø-ÿ"
+_KNOWN = re.compile(f"[!-;=-~A-Z{_LATIN}À-ÖØ-Þ]+")
+_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[0-9]|[^0-9{_LATIN}]+")
+
+
 class _Encoder(dict):
     """piece of text without spaces -> its ids as little-endian 32-bit numbers.
 
     The tokenizer drops white space and never joins what it separates, so a text's ids are those of
-    its pieces in a row.  For the same reason letters before a comma or full stop are a piece of
-    their own, and ASCII pieces are looked up in the lower case the tokenizer gives them.  The
-    memory of pieces is emptied once it is full.
+    its pieces in a row.  A piece of ASCII and Latin-1 letters (without ``<``, with which special
+    tokens start) needs no normal form, its lower case has as many letters, and the tokenizer's
+    pattern cuts it into parts, which go to the merges directly; any other piece goes through the
+    whole tokenizer.  Pieces met lately are kept: when the younger memory is full it becomes the
+    older one, whose content is forgotten.
     """
 
     def __init__(self, path: str | None):
@@ -42,20 +54,29 @@ class _Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
+        self.merges = self.tokenizer.model.tokenize
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= _CACHE:
+            self.older = dict(self)
             self.clear()
-        if piece[-1:] in (",", ".") and piece[:-1].isalpha():
-            made = self[piece[:-1]] + self[piece[-1]]
-        elif piece.isascii() and "<" not in piece and piece != piece.lower():
-            made = self[piece.lower()]
-        else:
-            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-            made = np.array(ids, dtype="<u4").tobytes()
+        made = self.older.get(piece)
+        if made is None:
+            made = self._made(piece)
         self[piece] = made
         return made
 
+    def _made(self, piece: str) -> bytes:
+        if not _KNOWN.fullmatch(piece):
+            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+            return np.array(ids, dtype="<u4").tobytes()
+        parts = _PARTS.findall(piece.lower())
+        if len(parts) > 1:
+            return b"".join(map(self.__getitem__, parts))
+        letters = parts[0] if parts[0].isascii() else "".join(map(_BYTE_LETTERS.__getitem__, parts[0].encode()))
+        return b"".join([t.id.to_bytes(4, "little") for t in self.merges(letters)])
+
     def ids(self, text: str, end: int) -> bytes:
         pieces = text.replace("\n", " ").replace("\t", " ").split(" ")
         return b"".join(map(self.__getitem__, pieces)) + np.uint32(end).tobytes()
@@ -89,10 +110,12 @@ def join_crcs(blocks: list[int], last: int) -> int:
 
 
 def fillings(units: int) -> list[tuple[int, ...]]:
-    """All ways to fill ``units`` with one, two or three parts, largest first."""
+    """All ways to fill ``units`` with one, two or three parts, largest first, and for short parts
+    those of one length as often as it fits, with one part more if that leaves room."""
     pairs = [(units - a, a) for a in range(1, units // 2 + 1)]
     triples = [(units - a - b, b, a) for a in range(1, units // 3 + 1) for b in range(a, (units - a) // 2 + 1)]
-    return [(units,), *pairs, *triples]
+    repeats = [(a,) * (units // a) + ((units % a,) if units % a else ()) for a in range(1, units // 3)]
+    return list(dict.fromkeys([(units,), *pairs, *triples, *repeats]))
 
 
 def nnls(columns: np.ndarray, target: np.ndarray, rounds: int = 1000) -> np.ndarray:
@@ -240,7 +263,7 @@ def pack(docs: DataFrame, window: int = 4096, end: int = 2, tokenizer: str | Non
         sequence += times
     ranked = materialize(_before(rest, ["u"], "one", "rank"), "ranks")
     spark = docs.sparkSession
-    # At most three slots for each filling in use, and no more fillings than units.
+    # No more fillings are in use than there are units, and none has more parts than that.
     table = spark.createDataFrame(slots, "u int, low long, high long, base long, place int")
     placed = ranked.join(
         F.broadcast(table.withColumnRenamed("u", "slot_u")),
@@ -293,3 +316,27 @@ def _residual(left: DataFrame, units: int, first_sequence: int) -> DataFrame:
         (F.floor(begin / units) + first_sequence).cast("long").alias("sequence_id"),
         begin.cast("long").alias("place"),
     )
+
+
+def packed_ids(docs: DataFrame, pieces: DataFrame, end: int = 2, tokenizer: str | None = None) -> DataFrame:
+    """``(sequence_id, ids, doc_ids, offsets)``: the sequences that ``pieces``, made by ``pack(docs)``, describe.
+
+    ``ids`` are the token ids of a whole sequence, ``doc_ids`` and ``offsets`` its pieces in order.
+    Documents are looked up by doc_id, so it has to be unique and not null here.  A document's pieces
+    and a sequence's pieces are few, as a piece is cut from one window.
+    """
+    cuts = pieces.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("cuts"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(cuts, "doc_id")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoder = _encoder(tokenizer)
+        for batch in batches:
+            out = []
+            for doc_id, text, own in batch[["doc_id", "text", "cuts"]].itertuples(index=False):
+                ids = np.frombuffer(encoder.ids(text or "", end), dtype="<u4")
+                out += [(doc_id, c["sequence_id"], c["offset"], ids[c["start"] : c["start"] + c["length"]].astype(np.int32)) for c in own]
+            yield pd.DataFrame(out, columns=["doc_id", "sequence_id", "offset", "ids"])
+
+    parts = rows.mapInPandas(cut, "doc_id long, sequence_id long, offset long, ids array<int>")
+    lists = parts.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "doc_id", "ids"))).alias("p"))
+    return lists.select("sequence_id", F.flatten("p.ids").alias("ids"), F.col("p.doc_id").alias("doc_ids"), F.col("p.offset").alias("offsets"))
