@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.storage import materialize
+from tessera.storage import discard, materialize
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -43,7 +43,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
 
     Each round is two aggregations with map-side combine and two equi-joins whose skewed
     partitions AQE can split; the edge set is rewritten to the shared folder every round, so the
-    lineage stays one round long.  The number of rounds is logarithmic in the longest path.
+    lineage stays one round long, and the round before is deleted.  The number of rounds is logarithmic
+    in the longest path.
     """
     edges = materialize(
         edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
@@ -53,7 +54,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     )
     before = None
     for _ in range(max_rounds):
-        edges = materialize(_small_star(_large_star(edges)).distinct(), "stars")
+        spent, edges = edges, materialize(_small_star(_large_star(edges)).distinct(), "stars")
+        discard(spent)
         after = edges.agg(
             F.count(F.lit(1)), F.sum(F.hash("src", "dst").cast("long")), F.bit_xor(F.xxhash64("src", "dst"))
         ).first()
