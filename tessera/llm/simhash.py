@@ -11,6 +11,8 @@ mask, so the candidate search misses nothing:
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -18,12 +20,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.components import connected_components
-from tessera.storage import materialize
+from tessera.storage import discard, materialize
 
 #: Buckets up to this size are compared pair by pair; larger ones by stars around shared neighbours.
 PAIRWISE_BUCKET = 32
 _BLOCK = 1 << 15
 _CACHE = 300_000
+_PAIRS_PER_SALT = 1000
 
 
 def fingerprint(text: str | None, shingle: int) -> int:
@@ -186,84 +189,111 @@ def _shingles(text: str, width: int) -> set[bytes]:
     return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
 
 
-def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Links ``(src, dst)`` between different texts whose word shingles have a Jaccard similarity of
-    ``similarity`` or more; all rows of a node of ``texts(node, text)`` have the same text.
+def _mixed(groups: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """``(key, node, part, size)``: the rows of ``groups(key, node)`` whose key holds several parts.
 
-    A text has four SimHashes over its set of words, because an edit changes one word but several
-    shingles.  Texts that meet in a bucket of the covering masks of one of them are candidates and
-    are compared exactly, on all shingles: first each text with the first of its bucket, then, where
-    a bucket still holds several components, all pairs of different components.  In a bucket of more
-    than ``PAIRWISE_BUCKET`` texts each is compared with the first and the last; the texts of those
-    that hold several components even then go through ``_prefix_pairs``, which misses no link.
+    A node's part is its component in ``parts``, or itself.  The table is written out.
     """
+    if parts is None:
+        placed = groups.select("key", "node", F.col("node").alias("part"))
+    else:
+        placed = groups.select("key", "node").join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
+    keys = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("size"))
+    return materialize(placed.join(keys.filter("low <> high").select("key", "size"), "key"), "mixed")
 
-    @F.pandas_udf("array<long>")
-    def prints(column: pd.Series) -> pd.Series:
-        bits = _WordBits()
-        return pd.Series([word_prints(t, bits) for t in column], dtype=object)
 
-    marked = materialize(
-        texts.select("node", prints("text").alias("fps")).groupBy("node").agg(F.first("fps").alias("fps")), "word-prints"
-    )
+def _star(mixed: DataFrame) -> DataFrame:
+    """``(hub, node)``, one row at most for each node of ``_mixed``: whom to compare it with.
+
+    A key's hub is the node that meets the most others, because the text that a group of copies was
+    made from is nearer to them than they are to each other.  Of the hubs of its keys that are not
+    of its own part a node takes the one that meets the most.
+    """
+    meets = mixed.groupBy("node").agg(F.sum(F.col("size") - 1).alias("meets"))
+    hubs = mixed.join(meets, "node").groupBy("key").agg(F.max(F.struct("meets", (-F.col("node")).alias("back"), "part")).alias("hub"))
+    hubs = hubs.select("key", "hub.meets", (-F.col("hub.back")).alias("hub"), F.col("hub.part").alias("hub_part"))
+    best = mixed.join(hubs, "key").filter("part <> hub_part").groupBy("node").agg(F.max(F.struct("meets", (-F.col("hub")).alias("back"))).alias("best"))
+    return best.select((-F.col("best.back")).alias("hub"), "node")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links ``(src, dst)``: the distinct ``pairs(hub, node)`` whose texts are similar enough.
+
+    Each text goes once for each of its pairs to the task of its hub, where the hub's own text comes
+    first; a hub of many pairs is dealt over several tasks.  A task holds two texts' shingles.
+    """
+    sizes = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / _PAIRS_PER_SALT).alias("salts"))
+    members = pairs.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("node"), F.col("salts")).alias("salt"), "node")
+    leads = sizes.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("hub").alias("node"))
+    rows = members.unionByName(leads).join(texts, "node").select("hub", "salt", "node", "text")
+    rows = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("node") != F.col("hub"))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, first = None, set()
+        for batch in batches:
+            found = []
+            for hub, salt, node, text in zip(batch["hub"], batch["salt"], batch["node"], batch["text"], strict=True):
+                own = _shingles(text, shingle)
+                if at != (hub, salt):
+                    at, first = (hub, salt), own
+                elif node != hub and min(len(own), len(first)) >= similarity * max(len(own), len(first)):
+                    shared = len(own & first)
+                    if shared >= similarity * (len(own) + len(first) - shared):
+                        found.append((hub, node))
+            yield pd.DataFrame(found, columns=["src", "dst"])
+
+    return materialize(rows.mapInPandas(compare, "src long, dst long"), "similar")
+
+
+def similar_texts(nodes: DataFrame, texts_of, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``(node, component)``: the components of the links between different texts whose word shingles
+    have a Jaccard similarity of ``similarity`` or more.
+
+    ``nodes(node, fps)`` has the four ``word_prints`` of each text, over its set of words, because an
+    edit changes one word but several shingles; ``texts_of(nodes)`` gives ``(node, text)`` of some
+    nodes.  Texts that meet in a bucket of the covering masks of one fingerprint are candidates, and
+    all candidates are settled by comparing whole texts: twice each text with the hub of one of its
+    buckets, whatever the bucket's size, which joins the groups of copies.  Texts that still meet
+    texts of other components then go through a prefix-filter join, which misses no link between
+    them, however large their buckets are.
+    """
     keys = [
         F.xxhash64(F.lit(k * 100 + t), F.col("fps")[k].bitwiseAND(F.lit(_signed(m))))
         for k in range(4)
         for t, m in enumerate(covering_masks(3))
     ]
-    banded = marked.select("node", F.explode(F.array(*keys)).alias("key"))
-    sizes = banded.groupBy("key").agg(
-        F.count(F.lit(1)).alias("size"), F.min("node").alias("first"), F.max("node").alias("last")
-    )
-    shared = materialize(banded.join(sizes.filter("size > 1"), "key"), "buckets")
-
-    @F.pandas_udf("double")
-    def jaccard(left: pd.Series, right: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(left, right, strict=True):
-            x, y = _shingles(a, shingle), _shingles(b, shingle)
-            out.append(len(x & y) / len(x | y))
-        return pd.Series(out, dtype="float64")
+    mixed = _mixed(nodes.select("node", F.explode(F.array(*keys)).alias("key")), None)
+    texts, links, parts = None, None, None
 
     def compared(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"))
-        pairs = materialize(pairs.filter("src <> dst").distinct(), "candidates")
-        wanted = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-        own = texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-        own = materialize(own, "candidate-texts")
-        both = pairs.join(own.select(F.col("node").alias("src"), F.col("text").alias("a")), "src")
-        both = both.join(own.select(F.col("node").alias("dst"), F.col("text").alias("b")), "dst")
-        return materialize(both.filter(jaccard("a", "b") >= similarity).select("src", "dst"), "similar")
-
-    stars = compared(shared.select(F.col("node").alias("x"), F.col("first").alias("y")))
-    known = connected_components(stars)
-    placed = shared.join(known, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-    mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high")
-    apart = materialize(placed.join(mixed.select("key"), "key", "left_semi").filter("node <> first"), "apart")
-    small = apart.filter(F.col("size") <= PAIRWISE_BUCKET)
-    meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.part") != F.col("b.part"))
-    pairs = small.alias("a").join(small.alias("b"), meet).select(F.col("a.node").alias("x"), F.col("b.node").alias("y"))
-    crowded = apart.filter(F.col("size") > PAIRWISE_BUCKET)
-    crowd = crowded.select(F.col("node").alias("x"), F.col("last").alias("y"))
-    links = stars.unionByName(compared(pairs.unionByName(crowd)))
-    if not crowded.limit(1).count():
-        return links
-
-    def mixed_groups(rows: DataFrame) -> DataFrame:
-        """Rows of the keys that still hold several components, with the component as ``part``."""
-        rows = rows.join(connected_components(links), "node", "left")
-        rows = rows.withColumn("part", F.coalesce("component", "node")).drop("component")
-        several = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high")
-        return rows.join(several.select("key"), "key", "left_semi")
-
-    unsettled = materialize(mixed_groups(crowded.select("key", "node")).select("node").distinct(), "unsettled")
-    own = texts.join(unsettled, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    prefixes = materialize(_prefixes(own, shingle, similarity), "prefixes")
-    hubs = mixed_groups(prefixes)
-    first = hubs.groupBy("key").agg(F.min(F.struct("node", "part", "n", "place", "short")).alias("hub")).select("key", "hub.*")
-    links = links.unionByName(compared(_prefix_pairs(first, hubs, similarity)))
-    rest = materialize(mixed_groups(prefixes), "prefixes")
-    return links.unionByName(compared(_prefix_pairs(rest, rest, similarity)))
+        found = _verified(pairs, texts, shingle, similarity)
+        return found if links is None else links.unionByName(found)
+
+    def settled(groups: DataFrame) -> DataFrame:
+        found = _mixed(groups, parts)
+        discard(groups)
+        return found
+
+    texts = materialize(texts_of(mixed.select("node").distinct()), "candidate-texts")
+    for _ in range(2):
+        links = compared(_star(mixed))
+        parts = materialize(connected_components(links), "parts")
+        mixed = settled(mixed)
+    unsettled = mixed.select("node").distinct()
+    prefixes = materialize(_prefixes(texts.join(unsettled, "node", "left_semi"), shingle, similarity), "prefixes")
+    discard(mixed)
+    mixed = _mixed(prefixes, parts)
+    if not mixed.isEmpty():
+        links = compared(_star(mixed))
+        parts = materialize(connected_components(links), "parts")
+        mixed = settled(mixed)
+        rest = prefixes.join(mixed.select("key", "node", "part"), ["key", "node"])
+        pairs = materialize(_prefix_pairs(rest, similarity).distinct(), "pairs")
+        links = compared(pairs)
+        parts = materialize(connected_components(links), "parts")
+        discard(pairs)
+    discard(mixed, prefixes, texts)
+    return parts
 
 
 def _prefixes(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -280,61 +310,73 @@ def _prefixes(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
         made = [np.frombuffer(b"".join(map(xxhash.xxh64_digest, _shingles(t, shingle))), dtype=">i8") for t in column]
         return pd.Series([np.unique(h).astype(np.int64) for h in made], dtype=object)
 
-    sets = materialize(texts.select("node", hashed("text").alias("keys")), "shingles")
-    rows = sets.select("node", F.size("keys").alias("n"), F.explode("keys").alias("key"))
+    rows = texts.select("node", F.explode(hashed("text")).alias("key"))
+    rows = materialize(rows, "shingles")
     rows = rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("holders")), "key")
     order = Window.partitionBy("node").orderBy("holders", "key")
-    rows = rows.withColumn("place", F.row_number().over(order))
+    count = F.count(F.lit(1)).over(Window.partitionBy("node"))
+    rows = rows.withColumn("place", F.row_number().over(order)).withColumn("n", count)
     twice = 2 * similarity / (1 + similarity)
     return rows.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).filter("holders > 1").select(
         "node", "key", "n", "place", (F.col("place") <= F.col("n") - F.ceil(F.col("n") * twice - 1e-9) + 1).alias("short")
     )
 
 
-def _prefix_pairs(left: DataFrame, right: DataFrame, similarity: float) -> DataFrame:
-    """Pairs ``(x, y)`` of different parts that share a key and whose numbers let them be similar enough."""
+def _prefix_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``(hub, node)`` of different parts that share a key and whose numbers let them be similar enough."""
     small, large = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
     shared = 1 + F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
     need = (small + large) * (similarity / (1 + similarity)) - 1e-9
     short = F.when(F.col("a.n") < F.col("b.n"), F.col("a.short")).when(F.col("a.n") > F.col("b.n"), F.col("b.short"))
     meet = (
-        (F.col("a.key") == F.col("b.key")) & (F.col("a.part") != F.col("b.part"))
+        (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.part") != F.col("b.part"))
         & (small >= large * similarity - 1e-9) & (shared >= need) & short.otherwise(F.col("a.short") & F.col("b.short"))
     )
-    return left.alias("a").join(right.alias("b"), meet).select(F.col("a.node").alias("x"), F.col("b.node").alias("y"))
+    return rows.alias("a").join(rows.alias("b"), meet).select(F.col("a.node").alias("hub"), F.col("b.node").alias("node"))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that stay if each group of near copies keeps its smallest doc_id.
 
     Groups are the connected components of equal texts and of the links of ``similar_texts``.  Texts
-    are told apart by their 64-bit XXH64; a null text counts as empty, and all empty texts are one
+    are equal if their 128-bit MD5s are; a null text counts as empty, and all empty texts are one
     group.  Null doc_ids come last in a group.  Of rows equal in doc_id and text one stays.  An empty
-    table stays empty; all columns are returned as they are.
+    table stays empty; all columns are returned as they are, whatever their names.
     """
-    columns = docs.columns
-    rows = docs.withColumn("__node", F.xxhash64(F.coalesce("text", F.lit(""))))
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    text = F.coalesce("row.text", F.lit(""))
+    rows = packed.select("row", F.col("row.doc_id").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("print"))
+
+    @F.pandas_udf("array<long>")
+    def prints(column: pd.Series) -> pd.Series:
+        bits = _WordBits()
+        return pd.Series([word_prints(t, bits) for t in column], dtype=object)
+
     # Null ids sort last: (is null, id) is compared as a pair.
-    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "times", "node")
-    nodes = materialize(
-        rows.groupBy(F.col("__node").alias("node"), "doc_id")
-        .agg(F.count(F.lit(1)).alias("times"))
-        .groupBy("node")
-        .agg(F.min(order).alias("head")),
-        "nodes",
-    )
-    texts = rows.select(F.col("__node").alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-    groups = connected_components(similar_texts(texts, shingle, similarity))
-    groups = nodes.join(groups, "node", "left").select("head", F.col("component"), F.col("node"))
-    linked = groups.filter("component IS NOT NULL").groupBy("component").agg(F.min("head").alias("head")).select("head")
-    keepers = materialize(
-        groups.filter("component IS NULL").select("head").unionByName(linked).select("head.node", "head.doc_id", "head.times"),
-        "keepers",
-    )
-    same = (F.col("__node") == F.col("k.node")) & F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))
-    once = rows.alias("d").join(keepers.filter("times = 1").alias("k"), same, "left_semi").select(*columns)
-    if not keepers.filter("times > 1").limit(1).count():
-        return once
-    several = rows.alias("d").join(keepers.filter("times > 1").alias("k"), same, "left_semi")
-    one = several.groupBy("__node").agg(F.first(F.struct(*columns)).alias("row")).select("row.*")
-    return once.unionByName(one)
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "times")
+    marks = materialize(rows.select("print", "doc_id", prints("text").alias("fps")), "word-prints")
+    nodes = marks.groupBy("print", "doc_id").agg(F.count(F.lit(1)).alias("times"), F.first("fps").alias("fps"))
+    nodes = nodes.groupBy("print").agg(F.min(order).alias("head"), F.first("fps").alias("fps"))
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    discard(marks)
+
+    def chosen(heads: DataFrame, columns: list) -> DataFrame:
+        """One row of ``rows`` for each row of ``heads(print, doc_id, times, ...)``."""
+        same = (F.col("d.print") == F.col("k.print")) & F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))
+        found = rows.alias("d").join(heads.alias("k"), same).select("k.print", "k.times", *columns)
+        names = found.columns[2:]
+        once = found.filter("times = 1").select(*names)
+        if heads.filter("times > 1").isEmpty():
+            return once
+        several = found.filter("times > 1").groupBy("print").agg(F.first(F.struct(*names)).alias("one"))
+        return once.unionByName(several.select("one.*"))
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        heads = nodes.join(wanted, "node", "left_semi").select("print", "head.doc_id", "head.times", "node")
+        return chosen(heads, ["k.node", "d.text"])
+
+    groups = nodes.join(similar_texts(nodes, texts_of, shingle, similarity), "node", "left")
+    linked = groups.filter("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("head", "print")).alias("h"))
+    alone = groups.filter("component IS NULL").select("print", "head.doc_id", "head.times")
+    keepers = materialize(alone.unionByName(linked.select("h.print", "h.head.doc_id", "h.head.times")), "keepers")
+    return chosen(keepers, ["d.row"]).select("row.*")

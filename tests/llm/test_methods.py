@@ -107,8 +107,7 @@ def test_dedup_stage_drops_near_copies(spark):
     assert {r["doc_id"] for r in simhash.drop_near_duplicates(frame).collect()} == kept
 
 
-def test_crowded_buckets_miss_no_near_copy(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "PAIRWISE_BUCKET", 2)
+def test_crowded_buckets_miss_no_near_copy(spark):
     chance = random.Random(5)
     rows = []
     for _ in range(40):  # one vocabulary, so all texts meet in the same buckets
