@@ -27,6 +27,8 @@ PAIRWISE_BUCKET = 32
 _BLOCK = 1 << 15
 _CACHE = 300_000
 _PAIRS_PER_SALT = 1000
+#: Fingerprints of a text's word set, an even number: at similarity 0.8 about every second pair collides under one.
+_PRINTS = 6
 
 
 def fingerprint(text: str | None, shingle: int) -> int:
@@ -164,23 +166,23 @@ def near_duplicates(
 
 
 class _WordBits(dict):
-    """word -> 32 hashed bytes; emptied once it holds too many words."""
+    """word -> 8 hashed bytes for each of the ``_PRINTS``; emptied once it holds too many words."""
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= _CACHE:
             self.clear()
-        self[word] = made = xxhash.xxh3_128_digest(word, 1) + xxhash.xxh3_128_digest(word, 2)
+        self[word] = made = b"".join([xxhash.xxh3_128_digest(word, k) for k in range(_PRINTS // 2)])
         return made
 
 
 def word_prints(text: str | None, bits: _WordBits) -> list[int]:
-    """Four independent 64-bit SimHashes of the set of a text's words."""
+    """``_PRINTS`` independent 64-bit SimHashes of the set of a text's words."""
     words = set((text or "").encode("utf-8", "surrogatepass").lower().split())
-    ones = np.zeros(256, dtype=np.int64)
+    ones = np.zeros(64 * _PRINTS, dtype=np.int64)
     digests = [bits[w] for w in words]
     for at in range(0, len(digests), _BLOCK):
         part = np.frombuffer(b"".join(digests[at : at + _BLOCK]), dtype=np.uint8)
-        ones += np.unpackbits(part).reshape(-1, 256).sum(axis=0, dtype=np.int64)
+        ones += np.unpackbits(part).reshape(-1, 64 * _PRINTS).sum(axis=0, dtype=np.int64)
     return np.packbits(2 * ones > len(words)).view(">i8").astype(np.int64).tolist()
 
 
@@ -249,7 +251,7 @@ def similar_texts(nodes: DataFrame, texts_of, shingle: int = 5, similarity: floa
     """``(node, component)``: the components of the links between different texts whose word shingles
     have a Jaccard similarity of ``similarity`` or more.
 
-    ``nodes(node, fps)`` has the four ``word_prints`` of each text, over its set of words, because an
+    ``nodes(node, fps)`` has the ``word_prints`` of each text, over its set of words, because an
     edit changes one word but several shingles; ``texts_of(nodes)`` gives ``(node, text)`` of some
     nodes.  Texts that meet in a bucket of the covering masks of one fingerprint are candidates, and
     all candidates are settled by comparing whole texts: twice each text with the hub of one of its
@@ -259,7 +261,7 @@ def similar_texts(nodes: DataFrame, texts_of, shingle: int = 5, similarity: floa
     """
     keys = [
         F.xxhash64(F.lit(k * 100 + t), F.col("fps")[k].bitwiseAND(F.lit(_signed(m))))
-        for k in range(4)
+        for k in range(_PRINTS)
         for t, m in enumerate(covering_masks(3))
     ]
     mixed = _mixed(nodes.select("node", F.explode(F.array(*keys)).alias("key")), None)
