@@ -7,12 +7,17 @@ inverted index from token to rule finds the rules of every other page.
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.storage import materialize
 
+#: Items of a row that may meet in one basket, for each group chosen.
+_GROUP_ITEMS = 4
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: (rule, verdict): host and all its subdomains, paths that start as given.
@@ -71,41 +76,82 @@ def url_tokens() -> Column:
     )
 
 
+def _representatives(labelled: DataFrame, least: int) -> DataFrame:
+    """``(token, item)``: the tokens of at least ``least`` rows, each with the smallest token that
+    occurs in just the same rows, by the number of rows and two sums of the rows' hashes."""
+    rows = labelled.select("tokens", F.xxhash64("row").alias("one"), F.hash("row").cast("long").alias("two"))
+    seen = rows.select(F.explode("tokens").alias("token"), "one", "two").groupBy("token")
+    seen = seen.agg(F.count(F.lit(1)).alias("n"), F.bit_xor("one").alias("one"), F.sum("two").alias("two")).filter(F.col("n") >= least)
+    same = seen.groupBy("n", "one", "two").agg(F.min("token").alias("item"), F.collect_list("token").alias("tokens"))
+    return same.select(F.explode("tokens").alias("token"), "item")
+
+
 def mine_rules(
-    labelled: DataFrame, min_support: float = 0.005, min_rows: int = 20, min_confidence: float = 0.8, max_tokens: int = 3
+    labelled: DataFrame, min_support: float = 0.005, min_rows: int = 5, min_confidence: float = 0.8, max_tokens: int = 3
 ) -> DataFrame:
     """Rules ``(rule_id, tokens, n_tokens, verdict, confidence, support)`` from ``labelled(tokens, verdict)``.
 
-    A rule is kept if its support and confidence reach the minima, it holds for at least
-    ``min_rows`` rows, it has at most ``max_tokens`` tokens, and no rule with fewer of its tokens implies the same verdict at least as surely.  The
-    support is a share of all labelled rows, so the number of rules doesn't grow with the corpus.
+    A rule of at most ``max_tokens`` tokens is kept if it holds for at least ``min_rows`` rows and the
+    share ``min_support`` of its verdict's rows, its confidence reaches ``min_confidence``, and no rule
+    with fewer of its tokens implies the same verdict at least as surely.  The support is a share
+    of the verdict's own rows, so a rare verdict has rules too and the number of rules doesn't grow
+    with the corpus.
+
+    FP-growth mines the tokens of each verdict's rows.  Tokens that always occur together count as
+    one, and wide rows are cut so that no itemset can grow long: the items are dealt into groups, and
+    every row gives one basket for each choice of ``max_tokens`` groups, with the items of these.
+    Every combination of that many items lies in one of the baskets, whose number is a polynomial
+    in the row's width, and its support there is its support in the rows.
     """
     spark = labelled.sparkSession
     kind = "rule_id long, tokens array<string>, n_tokens int, verdict string, confidence double, support double"
-    rows = labelled.count()
-    if rows < min_rows:
-        return spark.createDataFrame([], kind)
-    baskets = labelled.select(F.array_append("tokens", F.concat(F.lit("="), "verdict")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_rows / rows), minConfidence=min_confidence).fit(baskets)
-    found = (
-        model.associationRules.filter(F.col("consequent")[0].startswith("=") & (F.size("antecedent") <= max_tokens))
-        .filter(~F.exists("antecedent", lambda x: x.startswith("=")))
-        .select(
-            F.array_sort("antecedent").alias("tokens"),
-            F.size("antecedent").alias("n_tokens"),
-            F.substring(F.col("consequent")[0], 2, 20).alias("verdict"),
-            "confidence",
-            "support",
+    labelled = materialize(labelled.select("tokens", "verdict", F.monotonically_increasing_id().alias("row")), "labelled")
+    sizes = {r["verdict"]: r["n"] for r in labelled.groupBy("verdict").agg(F.count(F.lit(1)).alias("n")).collect()}
+    found = None
+    for verdict, rows in sorted(sizes.items()):
+        least = max(min_rows, math.ceil(min_support * rows))
+        if rows < least:
+            continue
+        own = labelled.filter(F.col("verdict") == verdict)
+        items = materialize(_representatives(own, least), "items")
+        kept = own.select("row", F.explode("tokens").alias("token")).join(items.filter("token = item"), "token")
+        baskets = materialize(kept.groupBy("row").agg(F.collect_set("item").alias("items")), "baskets")
+        width = baskets.agg(F.max(F.size("items"))).first()[0]
+        if not width:
+            continue
+        groups = max(max_tokens, -(-width // _GROUP_ITEMS))
+        choices = list(itertools.combinations(range(groups), max_tokens))
+        place = F.pmod(F.xxhash64("item"), F.lit(groups)).cast("int")
+        table = spark.createDataFrame([(k, list(c)) for k, c in enumerate(choices)], "choice int, groups array<int>")
+        dealt = kept.select("row", "item").distinct().withColumn("place", place)
+        cut = dealt.join(F.broadcast(table), F.array_contains("groups", F.col("place")))
+        cut = cut.groupBy("row", "choice").agg(F.collect_set(F.concat("choice", F.lit("|"), "item")).alias("items"))
+        support = (least - 0.5) / max(1, cut.count())
+        sets = FPGrowth(itemsCol="items", minSupport=min(1.0, support)).fit(cut).freqItemsets
+        short = sets.filter(F.size("items") <= max_tokens).select(
+            F.array_sort(F.transform("items", lambda x: F.regexp_replace(x, "^[0-9]+[|]", ""))).alias("tokens"), F.col("freq").alias("hits")
         )
-        .withColumn("rule_id", F.xxhash64("tokens", "verdict"))
+        short = short.distinct().select("tokens", "hits", F.lit(verdict).alias("verdict"), F.lit(float(rows)).alias("rows"))
+        found = short if found is None else found.unionByName(short)
+    if found is None:
+        return spark.createDataFrame([], kind)
+    found = found.withColumn("rule_id", F.xxhash64("tokens", "verdict")).withColumn("n_tokens", F.size("tokens"))
+    found = materialize(found, "itemsets")
+    # Confidence: how many rows of any verdict hold the tokens, by the inverted index; equal rows are counted once.
+    kinds = labelled.groupBy("tokens").agg(F.count(F.lit(1)).alias("rows"))
+    index = found.select(F.explode("tokens").alias("token"), "rule_id", "n_tokens")
+    met = kinds.select("tokens", "rows", F.explode("tokens").alias("token")).join(index, "token")
+    met = met.groupBy("tokens", "rows", "rule_id", "n_tokens").agg(F.count(F.lit(1)).alias("met")).filter("met = n_tokens")
+    totals = met.groupBy("rule_id").agg(F.sum("rows").alias("all"))
+    found = found.join(totals, "rule_id").select(
+        "rule_id", "tokens", "n_tokens", "verdict", (F.col("hits") / F.col("all")).alias("confidence"), (F.col("hits") / F.col("rows")).alias("support")
     )
-    found = materialize(found, "rules")
+    found = materialize(found.filter(F.col("confidence") >= min_confidence), "rules")
     # A rule meets the rules that share one of its tokens through the index, not all other rules.
     index = found.select(F.explode("tokens").alias("token"), F.struct("rule_id", "n_tokens", "verdict", "confidence").alias("r"))
-    small = index.groupBy("r", "token").count().select("r", "token")
     wider = (
-        small.alias("a")
-        .join(small.alias("b"), "token")
+        index.alias("a")
+        .join(index.alias("b"), "token")
         .filter("a.r.n_tokens > b.r.n_tokens AND a.r.verdict = b.r.verdict AND a.r.confidence <= b.r.confidence")
         .groupBy(F.col("a.r.rule_id").alias("rule_id"), F.col("b.r.rule_id").alias("by"), F.col("b.r.n_tokens").alias("n"))
         .agg(F.count(F.lit(1)).alias("shared"))
@@ -140,7 +186,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = BASE_RULES, **mining)
 
     The longest fitting fixed rule decides; where none fits, the mined rules do, and where none
     of these matches either, the page is allowed.  A null url or one without ``://`` has an empty
-    host and path, fits no rule and is judged by its other tokens.  Null page_ids and repeated rows
+    host and path, fits no rule and is judged by its other tokens.  Of equally sure and well supported
+    rules block goes before allow.  Null page_ids and repeated rows
     stay as they are; an empty table gives an empty result; other columns are not read.
     """
     rule, verdict = longest_rule(rules)
