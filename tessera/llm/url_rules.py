@@ -107,23 +107,24 @@ def mine_rules(
     kind = "rule_id long, tokens array<string>, n_tokens int, verdict string, confidence double, support double"
     labelled = materialize(labelled.select("tokens", "verdict", F.monotonically_increasing_id().alias("row")), "labelled")
     sizes = {r["verdict"]: r["n"] for r in labelled.groupBy("verdict").agg(F.count(F.lit(1)).alias("n")).collect()}
+    items = materialize(_representatives(labelled, min_rows).filter("token = item"), "tokens")
     found = None
     for verdict, rows in sorted(sizes.items()):
         least = max(min_rows, math.ceil(min_support * rows))
         if rows < least:
             continue
         own = labelled.filter(F.col("verdict") == verdict)
-        items = materialize(_representatives(own, least), "items")
-        kept = own.select("row", F.explode("tokens").alias("token")).join(items.filter("token = item"), "token")
-        baskets = materialize(kept.groupBy("row").agg(F.collect_set("item").alias("items")), "baskets")
-        width = baskets.agg(F.max(F.size("items"))).first()[0]
+        kept = own.select("row", F.explode("tokens").alias("token")).join(items, "token").select("row", "item")
+        often = kept.groupBy("item").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+        kept = materialize(kept.join(often.select("item"), "item"), "items")
+        width = kept.groupBy("row").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
         if not width:
             continue
         groups = max(max_tokens, -(-width // _GROUP_ITEMS))
         choices = list(itertools.combinations(range(groups), max_tokens))
         place = F.pmod(F.xxhash64("item"), F.lit(groups)).cast("int")
         table = spark.createDataFrame([(k, list(c)) for k, c in enumerate(choices)], "choice int, groups array<int>")
-        dealt = kept.select("row", "item").distinct().withColumn("place", place)
+        dealt = kept.withColumn("place", place)
         cut = dealt.join(F.broadcast(table), F.array_contains("groups", F.col("place")))
         cut = cut.groupBy("row", "choice").agg(F.collect_set(F.concat("choice", F.lit("|"), "item")).alias("items"))
         support = (least - 0.5) / max(1, cut.count())

@@ -1,6 +1,7 @@
 """Operators against brute force, exact round trips and held-out accuracy on small tables."""
 
 import collections
+import itertools
 import math
 import random
 import re
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import (
-    compression_quality, maxent_lm, mil_toxicity, mixing, nnls_packing, queries, rule_cascade, simhash, surrogates, url_rules,
+    compression_quality, maxent_lm, mil_toxicity, mixing, nnls_packing, queries, rule_cascade, simhash, surrogates, url_rules, va_search,
 )
 from tests.compare import check
 
@@ -68,7 +69,6 @@ def test_simhash_against_brute_force(docs, texts):
 @pytest.mark.parametrize("radius", [1, 2, 3])
 def test_masks_cover_every_pair(radius):
     masks = simhash.covering_masks(radius, 20)
-    import itertools
 
     for bits in itertools.combinations(range(20), radius):
         different = sum(1 << b for b in bits)
@@ -344,3 +344,71 @@ def test_pipeline_stages_chain(spark, docs, texts):
     hidden = corpus_pipeline.private(spark, kept, SF).collect()
     assert all(r["n_chars"] == len(r["text"]) for r in hidden)
     assert not [r for r in hidden for e in surrogates.find_entities(texts[r["doc_id"]]) if e[2] == "email" and e[3] in r["text"]]
+
+
+def test_url_miner_against_brute_force(spark):
+    chance = random.Random(4)
+    tokens = [f"t{k}" for k in range(9)]
+    rows = []
+    for _ in range(200):
+        own = [t for t in tokens if chance.random() < 0.4]
+        own += ["always"] if "t0" in own else []
+        rows.append((own, "block" if {"t1", "t2"} <= set(own) or ("t3" in own and chance.random() < 0.9) else "allow"))
+    got = {(tuple(r["tokens"]), r["verdict"]): (r["confidence"], r["support"]) for r in url_rules.mine_rules(
+        spark.createDataFrame(rows, "tokens array<string>, verdict string"), min_support=0.05).collect()}
+    want = {}
+    for n in (1, 2, 3):
+        for some in itertools.combinations(sorted(["always", *tokens[1:]]), n):  # t0 always comes with "always"
+            hits = collections.Counter(v for own, v in rows if set(some) <= set(own))
+            for v, c in hits.items():
+                all_v = sum(w == v for _, w in rows)
+                sure = c / sum(hits.values())
+                if c >= max(5, math.ceil(0.05 * all_v)) and sure >= 0.8:
+                    parts = [p for m in range(1, n) for p in itertools.combinations(some, m)]
+                    if not any(want.get((p, v), (0,))[0] >= sure for p in parts):
+                        want[some, v] = (sure, c / all_v)
+    assert want and got == {k: (pytest.approx(a), pytest.approx(b)) for k, (a, b) in want.items()}
+
+
+def test_wide_urls_are_mined_in_time(spark):
+    rows = [(i, f"https://{'a' if i % 2 else 'b'}.example.{'com/de' if i % 2 else 'org/x'}/{i}?" + "&".join(f"q{k}=1" for k in range(25))) for i in range(100)]
+    rows += [(1000 + i, f"https://a.example.net/de/{i}?q3=1") for i in range(3)]
+    got = url_rules.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert {r["verdict"] for r in got if r["page_id"] >= 1000} == {"block"}
+
+
+def test_search_reads_few_exact_vectors_and_matches_brute_force(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(600, 16)))]
+    rows += [(600 + i, rows[7][1]) for i in range(30)] + [(700, [1e6] * 16), (701, [3e17, 1.0]), (7, rows[7][1]), (800, [])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = va_search.exact_top_k(frame, F.col("vec_id") % 100 == 0, query_block=4).collect()
+    whole = [(i, [math.floor(x * 1024) for x in v] + [0] * (16 - len(v))) for i, v in rows]
+    for q, v in {i: v for i, v in whole if i % 100 == 0}.items():
+        scores = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(v, w)))), i) for i, w in whole if i != q)[:10]
+        mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
+        assert mine == [(k, i, -s) for k, (s, i) in enumerate(scores, 1)]
+
+
+def test_packing_ids_against_the_tokenizer():
+    encoder = nnls_packing._Encoder(None)
+    chance = random.Random(1)
+    letters = [*"abcABCzZ019 .,'!?<>|-_\n\t&%#\"éüßñçÀÖØÞþÿ×÷ªµº²中Яﬁ", "İ", "Σ", "ς", "́", " ", "\x85", "\x1c", "'s", "'LL", "'Re", "<|endoftext|>", "\U0001f600"]
+    for _ in range(30_000):
+        text = "".join(chance.choice(letters) for _ in range(chance.randrange(1, 12)))
+        want = [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 2]
+        assert np.frombuffer(encoder.ids(text, 2), dtype="<u4").tolist() == want, repr(text)
+
+
+def test_packed_ids_are_the_documents(docs, texts):
+    pieces = nnls_packing.pack(docs)
+    encoder = nnls_packing._Encoder(None)
+    found = collections.defaultdict(dict)
+    starts = {(r["sequence_id"], r["offset"]): r["start"] for r in pieces.collect()}
+    for r in nnls_packing.packed_ids(docs, pieces).collect():
+        assert len(r["ids"]) <= 4096
+        for i, at, end in zip(r["doc_ids"], r["offsets"], [*r["offsets"][1:], len(r["ids"])]):
+            found[i][starts[r["sequence_id"], at]] = r["ids"][at:end]
+    for i, t in texts.items():
+        ids = [x for _, part in sorted(found[i].items()) for x in part]
+        assert ids == np.frombuffer(encoder.ids(t, 2), dtype="<i4").tolist()
