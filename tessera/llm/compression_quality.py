@@ -69,13 +69,9 @@ def _gain(good: bytes, bad: bytes, block: int):
     return gain
 
 
-def _dictionary(texts: list[str], block: int, size: int, blocks_per_text: int) -> bytes:
-    """A dictionary of at most ``size`` bytes; raw sample text where there is too little to train on."""
-    samples = []
-    for text in texts:
-        parts = _blocks(text, block)
-        step = max(1, len(parts) // blocks_per_text)
-        samples += parts[::step][:blocks_per_text]
+def _dictionary(texts: list[str], block: int, size: int) -> bytes:
+    """A dictionary of at most ``size`` bytes from all blocks; raw text where there is too little to train on."""
+    samples = [part for text in texts for part in _blocks(text, block)]
     total = sum(map(len, samples))
     if len(samples) >= 16 and total > 10 * 1024:
         try:
@@ -110,9 +106,8 @@ def train(
     sample_rows: int = 1500,
     block: int = 1024,
     dictionary_bytes: int = 112_640,
-    blocks_per_text: int = 4,
 ) -> CompressionModel:
-    """Learn from at most ``sample_rows`` labelled documents of each class.
+    """Learn from the whole texts of at most ``sample_rows`` labelled documents of each class.
 
     The even half of the sample makes the dictionaries, the odd half fits the curve, so the curve
     sees texts that the dictionaries have not.  With no usable label of one class every text gets
@@ -125,8 +120,8 @@ def train(
         sides[label] = ([t for t, _ in own[::2]], own[1::2] or own)
     if not sides[0][0] or not sides[1][0]:
         return CompressionModel(b"\n" * 8, b"\n" * 8, 0.0, 0.0, block)
-    good = _dictionary(sides[1][0], block, dictionary_bytes, blocks_per_text)
-    bad = _dictionary(sides[0][0], block, dictionary_bytes, blocks_per_text)
+    good = _dictionary(sides[1][0], block, dictionary_bytes)
+    bad = _dictionary(sides[0][0], block, dictionary_bytes)
     gain = _gain(good, bad, block)
     known = [(gain(t), label, w) for label in (0, 1) for t, w in sides[label][1]]
     slope, offset = _logistic(*np.array(known, dtype=float).T)
