@@ -55,16 +55,34 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _SENTENCE.finditer(text) if _WORD.search(m[0])]
 
 
-def _bag(text: str, features: _Features) -> tuple[np.ndarray, np.ndarray]:
-    """Feature ids of a text and, for each, the number of its sentence."""
+def _bag(text: str, features: _Features) -> tuple[np.ndarray, np.ndarray, int]:
+    """Feature ids of a text, for each the number of its sentence, and the number of sentences."""
     ids: list[int] = []
     owner: list[int] = []
-    for k, (start, end) in enumerate(sentences(text)):
+    found = sentences(text)
+    for k, (start, end) in enumerate(found):
         before = len(ids)
         for word in _WORD.findall(text[start:end].lower()):
             ids += features[word]
         owner += [k] * (len(ids) - before)
-    return np.array(ids, dtype=np.int32), np.array(owner, dtype=np.int32)
+    return np.array(ids, dtype=np.int32), np.array(owner, dtype=np.int32), len(found)
+
+
+def telling(bags: list[tuple], y: np.ndarray, importance: np.ndarray, size: int, least: int = 2, deviations: float = 3.0) -> np.ndarray:
+    """Which features may get a weight: those in at least ``least`` toxic texts, and in more of them,
+    by ``deviations`` standard deviations of a Poisson count, than their share of all texts lets expect.
+
+    A toxic text's other words are as many as a small sample has labels, and would be learned by heart.
+    """
+    toxic, expected = np.zeros(size), np.zeros(size)
+    share = (importance * y).sum() / importance.sum()
+    for (ids, _, _), label, weight in zip(bags, y, importance, strict=True):
+        own = np.unique(ids)
+        toxic[own] += label
+        expected[own] += weight * share
+    scale = y.sum() / max(1e-9, (importance * y).sum())  # toxic texts count once each here
+    expected *= scale
+    return (toxic >= least) & (toxic - expected > deviations * np.sqrt(expected))
 
 
 def _softplus(z: np.ndarray) -> np.ndarray:
@@ -72,7 +90,7 @@ def _softplus(z: np.ndarray) -> np.ndarray:
 
 
 def fit(
-    bags: list[tuple[np.ndarray, np.ndarray]],
+    bags: list[tuple[np.ndarray, np.ndarray, int]],
     y: np.ndarray,
     importance: np.ndarray,
     size: int,
@@ -93,7 +111,7 @@ def fit(
         rate = 0.25 / (1 + epoch / 4)
         for chosen in np.array_split(random.permutation(len(bags)), max(1, len(bags) // 64)):
             ids = np.concatenate([bags[i][0] for i in chosen])
-            counts = [int(bags[i][1][-1]) + 1 if len(bags[i][1]) else 0 for i in chosen]
+            counts = [bags[i][2] for i in chosen]
             starts = np.concatenate([[0], np.cumsum(counts)])[:-1]
             owner = np.concatenate([bags[i][1] + s for i, s in zip(chosen, starts, strict=True)])
             total = int(sum(counts))
@@ -135,7 +153,9 @@ def train(
     if not 0 < y.sum() < len(y):
         return MilModel(np.zeros(size, dtype=np.float32), -30.0)
     features = _Features(size)
-    return fit([_bag(t, features) for t in texts], y, importance, size, epochs)
+    bags = [_bag(t, features) for t in texts]
+    tells = telling(bags, y, importance, size)
+    return fit([(ids[tells[ids]], owner[tells[ids]], n) for ids, owner, n in bags], y, importance, size, epochs)
 
 
 def score_toxicity(docs: DataFrame, model: MilModel, locate: float = 0.3) -> DataFrame:
