@@ -14,10 +14,11 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,7 @@ _MEMBERS = 48
 _FEATURES = 3
 _BATCH = 2048
 _COUNTER = 400_000
+_LEARNED = 50_000
 _BLOCK = 16
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
@@ -45,55 +47,53 @@ def _text(word: bytes) -> str:
 
 @dataclass
 class Maxent:
-    """``by_class`` (buckets, classes), ``by_word`` (buckets, 48), and the biases of classes and members."""
+    """``by_class`` (buckets, classes), ``by_word`` (buckets, 48), and the biases of classes and slots.
+
+    A word's slot is its rank among the ``vocabulary`` most frequent words, and a hashed one of
+    ``rare`` further slots otherwise; 48 slots make a class.
+    """
 
     by_class: np.ndarray
     by_word: np.ndarray
     class_bias: np.ndarray
     word_bias: np.ndarray
     vocabulary: int
+    rare: int
 
     @property
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
         return self.by_class, self.by_word
 
-    def buckets(self, ranks: np.ndarray, one: np.ndarray, two: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def slots(self, ranks: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        first = -(-self.vocabulary // _MEMBERS) * _MEMBERS
+        return np.where(ranks < self.vocabulary, ranks, first + (hashes % np.uint64(self.rare)).astype(np.int64))
+
+    def buckets(self, one: np.ndarray, two: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Buckets (n, 3) of the features for the class and, with the class mixed in, for the word."""
         size = np.uint64(len(self.by_class))
-        a, b = one.astype(np.uint64) + np.uint64(1), two.astype(np.uint64) + np.uint64(1)
-        raw = np.stack([a * _MIX[0], a * _MIX[1] + b * _MIX[2], b * _MIX[3]], axis=1)
+        raw = np.stack([one * _MIX[0], one * _MIX[1] + two * _MIX[2], two * _MIX[3]], axis=1)
         with_class = (raw ^ (raw >> np.uint64(31))) * _MIX[1] + classes.astype(np.uint64)[:, None] * _MIX[0]
-        return ((raw >> np.uint64(33)) % size).astype(np.int64), ((with_class >> np.uint64(33)) % size).astype(np.int64)
+        return ((raw >> np.uint64(33)) % size).astype(np.int32), ((with_class >> np.uint64(33)) % size).astype(np.int32)
 
-    def classes(self, ranks: np.ndarray) -> np.ndarray:
-        return np.where(ranks < self.vocabulary, ranks // _MEMBERS, len(self.class_bias) - 1)
-
-    def log_probability(self, ranks: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """Natural log of P(class) * P(word | class); of P(class) alone outside the vocabulary."""
-        out = np.empty(len(ranks))
-        for at in range(0, len(ranks), _BATCH):
+    def log_probability(self, slots: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Natural log of P(class) * P(slot | class), after the hashes of the words before."""
+        out = np.empty(len(slots))
+        for at in range(0, len(slots), _BATCH):
             part = slice(at, at + _BATCH)
-            r = ranks[part]
-            c = self.classes(r)
-            f, g = self.buckets(r, one[part], two[part], c)
-            total = _picked(_summed(self.by_class, f, self.class_bias), c)
-            known = np.flatnonzero(r < self.vocabulary)
-            total[known] += _picked(_summed(self.by_word, g[known], self.word_bias[c[known]]), r[known] % _MEMBERS)
-            out[part] = total
+            c, member = np.divmod(slots[part], _MEMBERS)
+            f, g = self.buckets(one[part], two[part], c)
+            out[part] = _picked(_summed(self.by_class, f, self.class_bias), c)
+            out[part] += _picked(_summed(self.by_word, g, self.word_bias[c]), member)
         return out
 
-    def learn(self, ranks: np.ndarray, one: np.ndarray, two: np.ndarray, squares: tuple[np.ndarray, np.ndarray], rate: float) -> None:
-        """One AdaGrad step for each batch of tokens."""
-        for at in range(0, len(ranks), 2 * _BATCH):
+    def learn(self, slots: np.ndarray, one: np.ndarray, two: np.ndarray, steps: tuple, rate: float) -> None:
+        """One AdaGrad step for each batch of tokens; ``steps`` holds (squares, counts) of each table's rows."""
+        for at in range(0, len(slots), 2 * _BATCH):
             part = slice(at, at + 2 * _BATCH)
-            r = ranks[part]
-            c = self.classes(r)
-            f, g = self.buckets(r, one[part], two[part], c)
-            _step(self.by_class, squares[0], f, _summed(self.by_class, f, self.class_bias), c, rate)
-            known = np.flatnonzero(r < self.vocabulary)
-            if len(known):
-                g = g[known]
-                _step(self.by_word, squares[1], g, _summed(self.by_word, g, self.word_bias[c[known]]), r[known] % _MEMBERS, rate)
+            c, member = np.divmod(slots[part], _MEMBERS)
+            f, g = self.buckets(one[part], two[part], c)
+            _step(self.by_class, *steps[0], f, _summed(self.by_class, f, self.class_bias), c, rate)
+            _step(self.by_word, *steps[1], g, _summed(self.by_word, g, self.word_bias[c]), member, rate)
 
 
 def _summed(table: np.ndarray, buckets: np.ndarray, bias: np.ndarray) -> np.ndarray:
@@ -109,19 +109,18 @@ def _sums(p: np.ndarray) -> np.ndarray:
 
 
 def _picked(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Log of the softmax at ``chosen``; overwrites ``logits``.
-
-    The largest logit of the batch is taken off all rows, which keeps the exponentials in range
-    because rows of one batch differ by far less than float32 spans.
-    """
-    logits -= logits.max(initial=0)
+    """Log of the softmax at ``chosen``; overwrites ``logits``."""
+    logits -= logits.max(axis=1, initial=-np.inf)[:, None]
     own = logits[np.arange(len(chosen)), chosen].astype(np.float64)
     np.exp(logits, out=logits)
     return own - np.log(_sums(logits))
 
 
-def _step(table: np.ndarray, squares: np.ndarray, buckets: np.ndarray, logits: np.ndarray, chosen: np.ndarray, rate: float) -> None:
-    logits -= logits.max(initial=0)
+def _step(
+    table: np.ndarray, squares: np.ndarray, counts: np.ndarray, buckets: np.ndarray, logits: np.ndarray, chosen: np.ndarray, rate: float
+) -> None:
+    """A step on the rows that the batch uses; a row's pace falls with the sum of its squared gradients."""
+    logits -= logits.max(axis=1)[:, None]
     p = np.exp(logits, out=logits)
     p /= _sums(p)[:, None]
     p[np.arange(len(chosen)), chosen] -= 1
@@ -132,19 +131,18 @@ def _step(table: np.ndarray, squares: np.ndarray, buckets: np.ndarray, logits: n
         starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
         sums = np.add.reduceat(np.take(p, order, axis=0), starts, axis=0)
         rows = own[starts]
-        grown = np.take(squares, rows, axis=0) + sums * sums
-        squares[rows] = grown
-        np.sqrt(grown, out=grown)
-        sums /= grown
-        sums *= rate
+        squares[rows] += np.einsum("ij,ij->i", sums, sums)
+        counts[rows] += np.diff(np.r_[starts, len(own)])
+        sums *= (rate / np.sqrt(squares[rows]))[:, None]
         table[rows] -= sums
 
 
-def _histories(ranks: list[np.ndarray], start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All tokens of some texts in a row, with the word before and the word before that."""
-    one = [np.r_[start, r[:-1]] for r in ranks]
-    two = [np.r_[start, start, r[:-2]][: len(r)] for r in ranks]
-    return np.concatenate(ranks), np.concatenate(one), np.concatenate(two)
+def _histories(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For all tokens of some texts in a row the hash of the word before and of the word before that."""
+    start = np.zeros(2, dtype=np.uint64)
+    one = [np.concatenate([start[:1], h[:-1]]) for h in hashes]
+    two = [np.concatenate([start, h[:-2]])[: len(h)] for h in hashes]
+    return np.concatenate(one), np.concatenate(two)
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -197,108 +195,138 @@ class _Ranks(dict):
     def __init__(self, words: list[bytes]):
         super().__init__((w, k) for k, w in enumerate(words))
         self.other = len(words)
+        self.hashes = np.array([_hash(w) for w in words], dtype=np.uint64)
 
     def __missing__(self, word: bytes) -> int:
         return self.other
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        out = np.empty(len(words) + 1, dtype=np.int64)
-        out[:-1] = list(map(self.__getitem__, words))
-        out[-1] = self[END]
-        return out
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ranks and hashes of some words, and where the words are that have no rank."""
+        ranks = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+        rare = np.flatnonzero(ranks == self.other)
+        hashes = np.empty(len(words), dtype=np.uint64)
+        known = ranks < self.other
+        hashes[known] = self.hashes[ranks[known]]
+        hashes[rare] = [_hash(words[i]) for i in rare.tolist()]
+        return ranks, hashes, rare
+
 
+def _hash(word: bytes) -> int:
+    """XXH64 with the seed that Spark's xxhash64 has."""
+    return xxhash.xxh64_intdigest(word, 42)
 
-def _unigram(counts: np.ndarray, vocabulary: int, total: int, distinct: int, buckets: int) -> Maxent:
-    """The model without weights: smoothed frequencies of classes and of members in their class."""
-    n_classes = -(-vocabulary // _MEMBERS) + 1
-    mass = np.full((n_classes - 1, _MEMBERS), 1e-30)
-    mass.reshape(-1)[:vocabulary] = counts[:vocabulary] + 0.1
-    outside = total - counts[:vocabulary].sum() + 0.1 * (distinct - vocabulary + 1)
-    by_class = np.r_[mass.sum(axis=1), outside]
-    word_bias = np.log(mass / mass.sum(axis=1, keepdims=True)) if len(mass) else np.zeros((1, _MEMBERS))
+
+def _unigram(masses: np.ndarray, vocabulary: int, rare: int, buckets: int) -> Maxent:
+    """The model without weights; ``masses`` are the smoothed counts of all slots, in whole classes."""
+    mass = np.maximum(masses, 1e-30).reshape(-1, _MEMBERS)
     return Maxent(
-        np.zeros((buckets, n_classes), dtype=np.float32),
+        np.zeros((buckets, len(mass)), dtype=np.float32),
         np.zeros((buckets, _MEMBERS), dtype=np.float32),
-        np.log(by_class / by_class.sum()).astype(np.float32),
-        word_bias.astype(np.float32),
+        np.log(mass.sum(axis=1) / mass.sum()).astype(np.float32),
+        np.log(mass / mass.sum(axis=1, keepdims=True)).astype(np.float32),
         vocabulary,
+        rare,
     )
 
 
 def _mixing_round(texts: DataFrame, shared, rate: float) -> list:
-    """Token-weighted sums of the tasks' weight changes, by table and block of buckets."""
+    """Sums of the tasks' weight changes by table and block of buckets, each row's change weighted by
+    how often the task used it, and the sums of these weights.  Changes are sent in half precision."""
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, start_model = shared.value
         ranks = _Ranks(words)
-        model = Maxent(*(t.copy() for t in start_model.tables), start_model.class_bias, start_model.word_bias, start_model.vocabulary)
-        squares = tuple(np.full(t.shape, 1e-2, dtype=np.float32) for t in model.tables)
-        tokens = 0
+        model = replace(start_model, by_class=start_model.by_class.copy(), by_word=start_model.by_word.copy())
+        steps = tuple((np.full(len(t), 1e-2, dtype=np.float32), np.zeros(len(t), dtype=np.float32)) for t in model.tables)
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
+
+        def flush() -> None:
+            slots = np.concatenate([s for s, _ in waiting])
+            model.learn(slots, *_histories([h for _, h in waiting]), steps, rate)
+            waiting.clear()
+
         for batch in batches:
-            waiting: list[np.ndarray] = []
             for text in batch["text"]:
-                waiting.append(ranks(words_of(text)))
-                if sum(map(len, waiting[-8:])) > 8 * _BATCH or len(waiting) >= 256:
-                    tokens += sum(map(len, waiting))
-                    model.learn(*_histories(waiting, ranks.other + 1), squares, rate)
-                    waiting = []
-            if waiting:
-                tokens += sum(map(len, waiting))
-                model.learn(*_histories(waiting, ranks.other + 1), squares, rate)
-        if not tokens:
-            return
+                r, h, _ = ranks([*words_of(text), END])
+                waiting.append((model.slots(r, h), h))
+                held += len(r)
+                if held >= 16 * _BATCH:
+                    flush()
+                    held = 0
+        if waiting:
+            flush()
         rows = []
-        for t, (new, old) in enumerate(zip(model.tables, start_model.tables, strict=True)):
-            change = (new - old) * np.float32(tokens)
+        for t, (new, old, (_, seen)) in enumerate(zip(model.tables, start_model.tables, steps, strict=True)):
+            change = (new - old).astype(np.float16)
             for b in range(0, len(change), _BLOCK):
-                if change[b : b + _BLOCK].any():
-                    rows.append((t, b, tokens, change[b : b + _BLOCK].tobytes()))
-        yield pd.DataFrame([*rows, (-1, 0, tokens, b"")], columns=["t", "b", "tokens", "change"])
+                if seen[b : b + _BLOCK].any():
+                    rows.append((t, b, change[b : b + _BLOCK].tobytes(), seen[b : b + _BLOCK].tobytes()))
+        yield pd.DataFrame(rows, columns=["t", "b", "change", "seen"])
 
     def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict = {}
         for batch in batches:
-            for t, b, tokens, change in batch.itertuples(index=False):
-                arrived = np.frombuffer(change, dtype=np.float32)
+            for t, b, change, seen in batch.itertuples(index=False):
+                weights = np.frombuffer(seen, dtype=np.float32)
+                rows = np.frombuffer(change, dtype=np.float16).reshape(len(weights), -1)
+                arrived = [rows * weights[:, None], weights]
                 if (t, b) in sums:
-                    sums[t, b] = (sums[t, b][0] + tokens, sums[t, b][1] + arrived)
+                    for own, more in zip(sums[t, b], arrived, strict=True):
+                        own += more
                 else:
-                    sums[t, b] = (tokens, arrived.astype(np.float64))
-        rows = [(t, b, n, v.astype(np.float32).tobytes()) for (t, b), (n, v) in sums.items()]
-        yield pd.DataFrame(rows, columns=["t", "b", "tokens", "change"])
+                    sums[t, b] = [x.astype(np.float64) for x in arrived]
+        rows = [(t, b, *(v.astype(np.float32).tobytes() for v in both)) for (t, b), both in sums.items()]
+        yield pd.DataFrame(rows, columns=["t", "b", "change", "seen"])
 
-    kind = "t int, b int, tokens long, change binary"
+    kind = "t int, b int, change binary, seen binary"
     changes = texts.mapInPandas(local, kind)
     # A task keeps one running sum for each of its blocks, however many tasks sent changes.
     return changes.repartition(16, "t", "b").mapInPandas(summed, kind).collect()
 
 
 def train(
-    texts: DataFrame, words: list[bytes], counts: np.ndarray, total: int, distinct: int,
-    vocabulary: int = 2304, buckets: int = 8192, rounds: int = 2, share: int = 16, rate: float = 0.08,
+    texts: DataFrame, words: list[bytes], masses: np.ndarray, vocabulary: int, rare: int,
+    buckets: int = 1 << 15, rounds: int = 4, rate: float = 1.0,
 ) -> Maxent:
-    """Fit on ``texts(text)``.
+    """Fit on ``texts(text)``; every text is learned from once.
 
-    Round k takes the texts whose hash is k modulo ``share``: the work is a fixed part of the
-    corpus at any size.  What reaches the driver is the model, whose size is set by the parameters.
+    Round k takes every ``rounds``-th partition, so that a partition's changes are sent once; the
+    next round starts from the mean of what its tasks have learned.  What reaches the driver is
+    the model, whose size is set by the parameters.
     """
-    model = _unigram(counts, min(vocabulary, len(words)), total, distinct, buckets)
+    model = _unigram(masses, vocabulary, rare, buckets)
     context = texts.sparkSession.sparkContext
     for k in range(rounds if len(words) else 0):
-        shared = context.broadcast((words, model))
-        part = texts.filter(F.pmod(F.xxhash64("text"), F.lit(share)) == k)
-        found = _mixing_round(part.select("text"), shared, rate / (1 + k))
-        tokens = sum(r["tokens"] for r in found if r["t"] < 0)
-        for r in found:
-            if r["t"] >= 0:
-                table = model.tables[r["t"]]
-                block = table[r["b"] : r["b"] + _BLOCK]
-                block += np.frombuffer(r["change"], dtype=np.float32).reshape(block.shape) / tokens
+        shared = context.broadcast((words[: _LEARNED], model))
+        part = texts.filter(F.spark_partition_id() % rounds == k)
+        for r in _mixing_round(part.select("text"), shared, rate):
+            table = model.tables[r["t"]]
+            block = table[r["b"] : r["b"] + _BLOCK]
+            seen = np.frombuffer(r["seen"], dtype=np.float32)
+            block += np.frombuffer(r["change"], dtype=np.float32).reshape(block.shape) / np.maximum(seen, 1)[:, None]
         shared.unpersist()
     return model
 
 
-def score(docs: DataFrame, folds: int = 10, remainder: int = 0, frequent: int = 150_000, **training) -> DataFrame:
+def _slot_masses(counts: DataFrame, words: list[bytes], c: np.ndarray, rare: int) -> np.ndarray:
+    """Smoothed counts of all slots: those of the vocabulary's words, filled up to whole classes, and
+    of the hashed slots, each with one unseen word more."""
+    first = -(-len(words) // _MEMBERS) * _MEMBERS
+    masses = np.r_[c + 0.1, np.zeros(first - len(words)), np.full(rare, 0.1)]
+    # xxhash64 is signed; the decimal is its unsigned value.  One row for each hashed slot.
+    slot = F.pmod(F.conv(F.hex(F.xxhash64("word")), 16, 10).cast("decimal(20)"), F.lit(rare)).cast("int")
+    for r in counts.groupBy(slot.alias("slot")).agg(F.sum(F.col("c") + 0.1).alias("mass")).collect():
+        masses[first + r["slot"]] += r["mass"]
+    for w, n in zip(words, c, strict=True):
+        masses[first + _hash(w) % rare] -= n + 0.1
+    return np.where(np.arange(len(masses)) < first, masses, np.maximum(masses, 0.1))
+
+
+def score(
+    docs: DataFrame, folds: int = 10, remainder: int = 0, frequent: int = 150_000,
+    vocabulary: int = 48 * _MEMBERS, rare: int = 32 * _MEMBERS, **training,
+) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for each row of ``docs``.
 
     Learns from rows outside the held-out fold; a row without doc_id is never held out.  A null or
@@ -320,58 +348,55 @@ def score(docs: DataFrame, folds: int = 10, remainder: int = 0, frequent: int =
     total, distinct = whole["n"], whole["v"]
     top = _most_frequent(counts, frequent)
     words, c = [w for w, _ in top], np.array([n for _, n in top], dtype=np.float64)
-    model = train(learned, words, c, total, distinct, **training)
-    outside = float(total - c[: model.vocabulary].sum() + 0.1 * (distinct - model.vocabulary + 1))
+    vocabulary = min(vocabulary, len(words))
+    masses = _slot_masses(counts, words[:vocabulary], c[:vocabulary], rare)
+    model = train(learned, words, masses, vocabulary, rare, **training)
     shared = spark.sparkContext.broadcast((words, model))
-    logs = spark.sparkContext.broadcast(np.r_[np.log10(c + 0.1), 0.0])
+    logs = spark.sparkContext.broadcast((np.r_[np.log10(c + 0.1), 0.0], np.log10(np.maximum(masses, 1e-30))))
 
-    kind = (
-        "n_tokens long, known long, base double, inner double, n_outside long, outer double,"
-        " rare array<string>"
-    )
+    kind = "n_tokens long, known long, base double, inner double, outer double, rare array<string>"
 
     @F.pandas_udf(kind)
-    def parts(texts: pd.Series) -> pd.DataFrame:
+    def parts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         frequent_words, lm = shared.value
-        by_rank = logs.value
+        by_rank, by_slot = logs.value
         ranks = _Ranks(frequent_words)
-        out = []
-        waiting: list[tuple[np.ndarray, list]] = []
-
-        def flush() -> None:
-            if not waiting:
-                return
-            tokens, one, two = _histories([r for r, _ in waiting], ranks.other + 1)
-            inner = lm.log_probability(tokens, one, two) / np.log(10)
-            lengths = np.array([len(r) for r, _ in waiting])
-            begins = np.r_[0, np.cumsum(lengths)[:-1]]
-            log_c = by_rank[tokens]
-            outside_now = tokens >= lm.vocabulary
-            columns = zip(
-                lengths,
-                np.add.reduceat((tokens < ranks.other).astype(np.int64), begins),
-                np.add.reduceat(log_c, begins),
-                np.add.reduceat(inner, begins),
-                np.add.reduceat(outside_now.astype(np.int64), begins),
-                np.add.reduceat(np.where(outside_now, log_c, 0.0), begins),
-                [rare for _, rare in waiting],
-                strict=True,
-            )
-            out.extend(columns)
-            waiting.clear()
-
-        held = 0
-        for text in texts:
-            found = words_of(text)
-            r = ranks(found)
-            found.append(END)
-            waiting.append((r, [_text(found[i]) for i in np.flatnonzero(r == ranks.other).tolist()]))
-            held += len(r)
-            if held >= 16 * _BATCH:
-                flush()
-                held = 0
-        flush()
-        return pd.DataFrame(out, columns=["n_tokens", "known", "base", "inner", "n_outside", "outer", "rare"])
+        for texts in batches:
+            out = []
+            waiting: list[tuple] = []
+            held = 0
+
+            def flush() -> None:
+                if not waiting:
+                    return
+                r, h, slots = (np.concatenate([w[k] for w in waiting]) for k in range(3))
+                inner = lm.log_probability(slots, *_histories([w[1] for w in waiting])) / np.log(10)
+                lengths = np.array([len(w[0]) for w in waiting])
+                begins = np.r_[0, np.cumsum(lengths)[:-1]]
+                log_c = by_rank[r]
+                outside = np.where(r >= lm.vocabulary, log_c - by_slot[slots], 0.0)
+                columns = zip(
+                    lengths,
+                    np.add.reduceat((r < ranks.other).astype(np.int64), begins),
+                    np.add.reduceat(log_c, begins),
+                    np.add.reduceat(inner, begins),
+                    np.add.reduceat(outside, begins),
+                    [w[3] for w in waiting],
+                    strict=True,
+                )
+                out.extend(columns)
+                waiting.clear()
+
+            for text in texts:
+                found = [*words_of(text), END]
+                r, h, others = ranks(found)
+                waiting.append((r, h, lm.slots(r, h), [_text(found[i]) for i in others.tolist()]))
+                held += len(r)
+                if held >= 16 * _BATCH:
+                    flush()
+                    held = 0
+            flush()
+            yield pd.DataFrame(out, columns=["n_tokens", "known", "base", "inner", "outer", "rare"])
 
     scored = rows.select("doc_id", "held_out", parts("text").alias("p"))
     scored = materialize(scored.select("doc_id", "held_out", "p.*", F.monotonically_increasing_id().alias("row")), "scored")
@@ -382,7 +407,7 @@ def score(docs: DataFrame, folds: int = 10, remainder: int = 0, frequent: int =
     )
     added = scored.drop("rare").join(rare, "row", "left")
     rare_log = F.coalesce("rare_log", F.lit(0.0))
-    denominator, inside = np.log10(total + 0.1 * (distinct + 1)), np.log10(outside)
+    denominator = np.log10(total + 0.1 * (distinct + 1))
     return added.select(
         "doc_id",
         "held_out",
@@ -390,5 +415,5 @@ def score(docs: DataFrame, folds: int = 10, remainder: int = 0, frequent: int =
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("base") + rare_log - F.col("n_tokens") * float(denominator)).alias("base_score"),
-        (F.col("inner") + F.col("outer") + rare_log - F.col("n_outside") * float(inside)).alias("score"),
+        (F.col("inner") + F.col("outer") + rare_log).alias("score"),
     )

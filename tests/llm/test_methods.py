@@ -216,15 +216,46 @@ def test_lm_base_score_and_gain(docs, texts):
 
 
 def test_lm_probabilities_sum_to_one():
-    words = [b"w%d" % k for k in range(150)]
-    counts = np.arange(150, 0, -1).astype(float)
-    model = maxent_lm._unigram(counts, 100, int(counts.sum()), 150, 32)
     rng = np.random.default_rng(0)
-    model.by_class += rng.normal(size=model.by_class.shape).astype(np.float32)
+    model = maxent_lm._unigram(rng.random(48 * 5) + 0.1, 100, 96, 32)
+    model.by_class += 30 * rng.normal(size=model.by_class.shape).astype(np.float32)
     model.by_word += rng.normal(size=model.by_word.shape).astype(np.float32)
-    ranks = np.r_[np.arange(100), len(words)]
-    one, two = np.full(101, 7), np.full(101, 9)
-    assert np.exp(model.log_probability(ranks, one, two)).sum() == pytest.approx(1, abs=1e-4)
+    slots = np.arange(48 * 5)
+    one, two = np.full(len(slots), 7, dtype=np.uint64), np.full(len(slots), 9, dtype=np.uint64)
+    total = model.log_probability(slots, one, two)
+    assert np.isfinite(total).all() and np.exp(total).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_lm_learns_every_text_and_beats_a_brute_force_bigram_on_held_out_rows(spark):
+    """Texts from a chain of words: the model against an add-one interpolated bigram counted on the same rows."""
+    chance = random.Random(3)
+    follow = {w: [chance.randrange(300) for _ in range(3)] for w in range(300)}
+    rows, at = [], 0
+    for i in range(600):
+        words = []
+        for _ in range(80):
+            at = chance.choice(follow[at]) if chance.random() < 0.9 else chance.randrange(300)
+            words.append(f"w{at}")
+        rows.append((i, " ".join(words)))
+    got = maxent_lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).filter("held_out").collect()
+    one, two, first = collections.Counter(), collections.Counter(), collections.Counter()
+    tokens = {i: [*t.split(), "\n"] for i, t in rows}
+    for i, own in tokens.items():
+        if zlib.crc32(str(i).encode()) % 10:
+            one.update(own)
+            two.update(zip(["\n", *own], own))
+            first.update(["\n", *own[:-1]])
+    n = sum(one.values())
+    bigram = base = 0.0
+    for r in got:
+        own = tokens[r["doc_id"]]
+        for a, b in zip(["\n", *own], own):
+            p = (one[b] + 0.1) / (n + 0.1 * (len(one) + 1))
+            base += math.log10(p)
+            bigram += math.log10((two[a, b] + 50 * p) / (first[a] + 50))
+    mine = sum(r["score"] for r in got)
+    assert base == pytest.approx(sum(r["base_score"] for r in got), rel=1e-9)
+    assert mine > base + 0.75 * (bigram - base) and mine > base * 0.7
 
 
 def test_classifiers_on_held_out_rows(spark):
