@@ -28,7 +28,6 @@ from tessera.storage import materialize
 #: The token after a text's last word; words can't hold it.
 END = b"\n"
 _MEMBERS = 48
-_FEATURES = 3
 _BATCH = 2048
 _COUNTER = 400_000
 _LEARNED = 50_000
@@ -69,11 +68,13 @@ class Maxent:
         return np.where(ranks < self.vocabulary, ranks, first + (hashes % np.uint64(self.rare)).astype(np.int64))
 
     def buckets(self, one: np.ndarray, two: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Buckets (n, 3) of the features for the class and, with the class mixed in, for the word."""
-        size = np.uint64(len(self.by_class))
+        """Buckets of the features: (n, 3) for the class, of the word before, both words and the one
+        before that (skip), and, with the class mixed in, (n, 2) for the word, without the skip."""
+        last = np.uint64(len(self.by_class) - 1)
         raw = np.stack([one * _MIX[0], one * _MIX[1] + two * _MIX[2], two * _MIX[3]], axis=1)
-        with_class = (raw ^ (raw >> np.uint64(31))) * _MIX[1] + classes.astype(np.uint64)[:, None] * _MIX[0]
-        return ((raw >> np.uint64(33)) % size).astype(np.int32), ((with_class >> np.uint64(33)) % size).astype(np.int32)
+        pair = raw[:, :2]
+        with_class = (pair ^ (pair >> np.uint64(31))) * _MIX[1] + classes.astype(np.uint64)[:, None] * _MIX[0]
+        return ((raw >> np.uint64(33)) & last).astype(np.int32), ((with_class >> np.uint64(33)) & last).astype(np.int32)
 
     def log_probability(self, slots: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """Natural log of P(class) * P(slot | class), after the hashes of the words before."""
@@ -98,7 +99,7 @@ class Maxent:
 
 def _summed(table: np.ndarray, buckets: np.ndarray, bias: np.ndarray) -> np.ndarray:
     total = np.take(table, buckets[:, 0], axis=0)
-    for k in range(1, _FEATURES):
+    for k in range(1, buckets.shape[1]):
         total += np.take(table, buckets[:, k], axis=0)
     total += bias
     return total
@@ -116,6 +117,17 @@ def _picked(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     return own - np.log(_sums(logits))
 
 
+def _run_sums(rows: np.ndarray, starts: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Sums of the runs of rows; most runs are short, so these are added place by place for all runs."""
+    out = np.take(rows, starts, axis=0)
+    for place in (1, 2):
+        longer = np.flatnonzero(times > place)
+        out[longer] += rows[starts[longer] + place]
+    for k in np.flatnonzero(times > 3).tolist():
+        out[k] += rows[starts[k] + 3 : starts[k] + times[k]].sum(axis=0)
+    return out
+
+
 def _step(
     table: np.ndarray, squares: np.ndarray, counts: np.ndarray, buckets: np.ndarray, logits: np.ndarray, chosen: np.ndarray, rate: float
 ) -> None:
@@ -124,15 +136,16 @@ def _step(
     p = np.exp(logits, out=logits)
     p /= _sums(p)[:, None]
     p[np.arange(len(chosen)), chosen] -= 1
-    for k in range(_FEATURES):
+    for k in range(buckets.shape[1]):
         own = buckets[:, k]
         order = np.argsort(own.astype(np.uint16) if len(table) <= 1 << 16 else own, kind="stable")
         own = own[order]
         starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        sums = np.add.reduceat(np.take(p, order, axis=0), starts, axis=0)
+        times = np.diff(np.r_[starts, len(own)])
+        sums = _run_sums(np.take(p, order, axis=0), starts, times)
         rows = own[starts]
         squares[rows] += np.einsum("ij,ij->i", sums, sums)
-        counts[rows] += np.diff(np.r_[starts, len(own)])
+        counts[rows] += times
         sums *= (rate / np.sqrt(squares[rows]))[:, None]
         table[rows] -= sums
 
@@ -292,7 +305,7 @@ def train(
     """Fit on ``texts(text)``; every text is learned from once.
 
     Round k takes every ``rounds``-th partition, so that a partition's changes are sent once; the
-    next round starts from the mean of what its tasks have learned.  What reaches the driver is
+    next round starts from the mean of what its tasks have learned.  ``buckets`` is a power of two.  What reaches the driver is
     the model, whose size is set by the parameters.
     """
     model = _unigram(masses, vocabulary, rare, buckets)
