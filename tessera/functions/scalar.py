@@ -21,9 +21,22 @@ def desc(c: Column) -> Column:
     return c.desc_nulls_first()
 
 
+def _no_nan(*sides: Column) -> Column:
+    """False where a side is NaN; Spark holds NaN equal to itself and largest.  Any type may be given."""
+    out = F.lit(True)
+    for c in sides:
+        out = out & ~F.coalesce(c.cast("string") == "NaN", F.lit(False))
+    return out
+
+
 def equal(a: Column, b: Column) -> Column:
-    """``=`` on floats: null if a side is null, false if a side is NaN."""
-    return (a == b) & ~F.isnan(a)
+    """``=`` on numbers: null if a side is null, false if a side is NaN."""
+    return (a == b) & _no_nan(a)
+
+
+def same(a: Column, b: Column) -> Column:
+    """``=`` on strings, booleans, temporal values, lists and points: null if a side is null."""
+    return a == b
 
 
 def not_equal(a: Column, b: Column) -> Column:
@@ -31,8 +44,20 @@ def not_equal(a: Column, b: Column) -> Column:
 
 
 def less(a: Column, b: Column) -> Column:
-    """``<`` on floats: false if a side is NaN."""
-    return (a < b) & ~F.isnan(a) & ~F.isnan(b)
+    """``<``: null if a side is null, false if a side is NaN."""
+    return (a < b) & _no_nan(a, b)
+
+
+def less_equal(a: Column, b: Column) -> Column:
+    return (a <= b) & _no_nan(a, b)
+
+
+def greater(a: Column, b: Column) -> Column:
+    return less(b, a)
+
+
+def greater_equal(a: Column, b: Column) -> Column:
+    return less_equal(b, a)
 
 
 def xor(a: Column, b: Column) -> Column:
@@ -41,7 +66,7 @@ def xor(a: Column, b: Column) -> Column:
 
 def int_divide(a: Column, b: Column) -> Column:
     """Truncating division; division by zero is an error."""
-    return F.when(a.isNotNull() & b.isNotNull(), (a - a % b) / b).cast("long")
+    return F.call_function("div", a.cast("long"), b.cast("long"))
 
 
 def float_divide(a: Column, b: Column) -> Column:
@@ -65,20 +90,27 @@ def is_in(value: Column, items: Column) -> Column:
     return F.when(F.size(items) == 0, F.lit(False)).otherwise(found)
 
 
-def index(items: Column, at: int) -> Column:
-    """``items[at]`` with negative positions from the end; null outside."""
-    return F.get(items, F.lit(at)) if at >= 0 else F.try_element_at(items, F.lit(at))
+def index(items: Column, at: Column | int) -> Column:
+    """``items[at]`` with negative positions from the end; null outside or at null."""
+    at = F.lit(at) if isinstance(at, int) else at
+    return F.get(items, F.when(at >= 0, at).otherwise(F.when(F.size(items) + at >= 0, F.size(items) + at).otherwise(F.size(items))))
+
 
+def map_index(items: Column, key: Column | str) -> Column:
+    """``map[key]``; null for a key that isn't there."""
+    return F.try_element_at(items, F.lit(key) if isinstance(key, str) else key)
 
-def slice_(items: Column, start: int | None, stop: int | None) -> Column:
-    """``items[start..stop]``: half open, clamped, negative from the end."""
+
+def slice_(items: Column, start: Column | int | None, stop: Column | int | None) -> Column:
+    """``items[start..stop]``: half open, clamped, negative from the end; null if a bound is null."""
     n = F.size(items)
 
-    def clamp(at: int | None, default: Column) -> Column:
+    def clamp(at: Column | int | None, default: Column) -> Column:
         if at is None:
             return default
-        place = F.lit(at) if at >= 0 else n + F.lit(at)
-        return F.greatest(F.lit(0), F.least(place, n))
+        at = F.lit(at) if isinstance(at, int) else at
+        place = F.when(at >= 0, at).otherwise(n + at)
+        return F.when(at.isNotNull(), F.greatest(F.lit(0), F.least(place, n)).cast("int"))
 
     first, last = clamp(start, F.lit(0)), clamp(stop, n)
     return F.slice(items, first + 1, F.greatest(last - first, F.lit(0)))
@@ -199,3 +231,47 @@ def right(c: Column, n: int) -> Column:
 def keys_present(columns: list[str]) -> Column:
     """``keys(n)``: names of the columns that are not null."""
     return F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), F.lit(c)) for c in columns)))
+
+
+def list_plus(a: Column, b: Column, a_is_list: bool = True, b_is_list: bool = True) -> Column:
+    """``+`` with lists: joined, or an element put behind or before; null if a side is null."""
+    left = a if a_is_list else F.array(a)
+    right = b if b_is_list else F.array(b)
+    return F.when(a.isNotNull() & b.isNotNull(), F.concat(left, right))
+
+
+def text_plus(a: Column, b: Column) -> Column:
+    """``+`` with a string: the other side's text is joined to it; null if a side is null."""
+    return F.concat(a.cast("string"), b.cast("string"))
+
+
+def has_labels(labels: Column, *wanted: str) -> Column:
+    """``n:A:B`` on a list of labels; null for a null node."""
+    out = F.lit(True)
+    for w in wanted:
+        out = out & F.array_contains(labels, w)
+    return F.when(labels.isNotNull(), out)
+
+
+def properties(columns: list[str]) -> Column:
+    """``properties(n)``: the columns that are not null, as a map from name to text."""
+    pairs = F.array(*(F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v")) for c in columns))
+    return F.map_from_entries(F.filter(pairs, lambda p: p["v"].isNotNull()))
+
+
+def keys(items: Column) -> Column:
+    """``keys(map)``, sorted."""
+    return F.array_sort(F.map_keys(items))
+
+
+def exists(c: Column) -> Column:
+    return c.isNotNull()
+
+
+def start_node(rel: str) -> Column:
+    """Id of the node that the bound relationship ``rel`` starts from, whichever way it was followed."""
+    return F.col(f"{rel}__src")
+
+
+def end_node(rel: str) -> Column:
+    return F.col(f"{rel}__dst")

@@ -44,3 +44,33 @@ def within(rows: DataFrame, x: str, y: str, at: tuple[float, float], radius: flo
     cx, cy = at
     box = F.col(x).between(cx - radius, cx + radius) & F.col(y).between(cy - radius, cy + radius)
     return rows.filter(box).filter(F.sqrt(F.pow(F.col(x) - cx, 2) + F.pow(F.col(y) - cy, 2)) <= radius)
+
+
+def point_of(names: dict[str, Column]) -> Column:
+    """``point({x, y[, z]})`` or ``point({longitude, latitude[, height]})``; a latitude beyond 90 degrees
+    or a longitude beyond 180 is an error."""
+    if "longitude" not in names:
+        return point(names["x"], names["y"], names.get("z"))
+    lon, lat, height = names["longitude"], names["latitude"], names.get("height")
+    outside = (F.abs(lon) > 180) | (F.abs(lat) > 90)
+    lon = F.when(outside, F.raise_error(F.lit("a longitude or latitude is out of range")).cast("double")).otherwise(lon.cast("double"))
+    return point(lon, lat, height, WGS84 if height is None else WGS84_3D)
+
+
+def component(p: Column, name: str) -> Column:
+    """x, y, z, longitude, latitude, height, srid or crs; null where a point has no such one."""
+    globe = p["srid"].isin(WGS84, WGS84_3D)
+    if name == "crs":
+        return crs(p)
+    alias = {"longitude": "x", "latitude": "y", "height": "z"}
+    return F.when(globe, p[alias[name]]) if name in alias else p[name]
+
+
+def equal(a: Column, b: Column) -> Column:
+    """Points are equal if system and coordinates are; null if a side is null."""
+    return F.when(a.isNotNull() & b.isNotNull(), a.eqNullSafe(b))
+
+
+def order_key(p: Column) -> Column:
+    """What ORDER BY sorts points by: system, then coordinates."""
+    return F.when(p.isNotNull(), F.struct(p["srid"], p["x"], p["y"], F.coalesce(p["z"], F.lit(float("-inf")))))

@@ -14,6 +14,11 @@ MONTH_SECONDS = 2_629_746
 _FIRST_YEAR = {"millennium": 1000, "century": 100, "decade": 10}
 
 
+def _div(a: Column, b: int) -> Column:
+    """Whole division towards zero, exact in 64 bits."""
+    return F.call_function("div", a.cast("long"), F.lit(b).cast("long"))
+
+
 def part(c: Column, name: str) -> Column:
     """A component of a date or local date-time."""
     simple = {
@@ -80,17 +85,17 @@ def between(a: Column, b: Column) -> Column:
     moved = add(a, duration(months=whole))
     micros = F.unix_micros(b.cast("timestamp")) - F.unix_micros(moved.cast("timestamp"))
     rest = micros % 86_400_000_000
-    return duration(whole, (micros - rest) / 86_400_000_000, F.floor(rest / 1_000_000), (rest % 1_000_000) * 1000)
+    return duration(whole, _div(micros, 86_400_000_000), _div(rest, 1_000_000), (rest % 1_000_000) * 1000)
 
 
 def in_days(a: Column, b: Column) -> Column:
     micros = F.unix_micros(b.cast("timestamp")) - F.unix_micros(a.cast("timestamp"))
-    return ((micros - micros % 86_400_000_000) / 86_400_000_000).cast("long")
+    return _div(micros, 86_400_000_000)
 
 
 def in_seconds(a: Column, b: Column) -> Column:
     micros = F.unix_micros(b.cast("timestamp")) - F.unix_micros(a.cast("timestamp"))
-    return ((micros - micros % 1_000_000) / 1_000_000).cast("long")
+    return _div(micros, 1_000_000)
 
 
 def in_months(a: Column, b: Column) -> Column:
@@ -102,9 +107,216 @@ def order_key(d: Column) -> Column:
     return d["months"] * float(MONTH_SECONDS) + d["days"] * 86_400.0 + d["seconds"] + d["nanos"] / 1e9
 
 
-def scale(d: Column, by: int) -> Column:
-    return duration(d["months"] * by, d["days"] * by, d["seconds"] * by, d["nanos"] * by)
+def scale(d: Column, by: Column | float) -> Column:
+    """``d * by``; what is left of a month or a day goes on as days and seconds of average length."""
+    if isinstance(by, int):
+        return duration(d["months"] * by, d["days"] * by, d["seconds"] * by, d["nanos"] * by)
+    by = F.lit(by) if isinstance(by, float) else by
+    return _cascade(d["months"] * by, d["days"] * by, (d["seconds"] + d["nanos"] / 1e9) * by)
+
+
+def divide(d: Column, by: Column | float) -> Column:
+    by = F.lit(by) if isinstance(by, (int, float)) else by
+    return scale(d, F.lit(1.0) / by)
+
+
+def _cascade(months: Column, days: Column, seconds: Column) -> Column:
+    """A duration from fractional parts: each keeps its whole part and hands the rest down."""
+    months, days, seconds = (c.cast("double") for c in (months, days, seconds))
+    whole_months = _toward_zero(months)
+    days = days + (months - whole_months) * (MONTH_SECONDS / 86_400)
+    whole_days = _toward_zero(days)
+    seconds = seconds + (days - whole_days) * 86_400
+    whole = F.floor(F.round(seconds, 9))
+    return duration(whole_months, whole_days, whole, F.round((seconds - whole) * 1e9))
+
+
+def _toward_zero(c: Column) -> Column:
+    c = F.round(c, 9)
+    return F.when(c >= 0, F.floor(c)).otherwise(F.ceil(c)).cast("double")
 
 
 def plus(a: Column, b: Column) -> Column:
     return duration(*(a[k] + b[k] for k in ("months", "days", "seconds", "nanos")))
+
+
+def negated(d: Column) -> Column:
+    return duration(*(-d[k] for k in ("months", "days", "seconds", "nanos")))
+
+
+def minus(a: Column, b: Column) -> Column:
+    return plus(a, negated(b))
+
+
+def subtract(c: Column, d: Column) -> Column:
+    """A date or local date-time less a duration."""
+    return add(c, negated(d))
+
+
+def duration_of(
+    years: Column | float = 0, quarters: Column | float = 0, months: Column | float = 0, weeks: Column | float = 0,
+    days: Column | float = 0, hours: Column | float = 0, minutes: Column | float = 0, seconds: Column | float = 0,
+    milliseconds: Column | float = 0, microseconds: Column | float = 0, nanoseconds: Column | float = 0,
+) -> Column:
+    """``duration({...})``: any components, also fractional or negative ones."""
+
+    def c(x: Column | float) -> Column:
+        return (F.lit(x) if isinstance(x, (int, float)) else x).cast("double")
+
+    rest = c(milliseconds) / 1e3 + c(microseconds) / 1e6 + c(nanoseconds) / 1e9
+    return _cascade(c(years) * 12 + c(quarters) * 3 + c(months), c(weeks) * 7 + c(days), c(hours) * 3600 + c(minutes) * 60 + c(seconds) + rest)
+
+
+_DURATION = r"^([-+]?)P(?:([-+0-9.]+)Y)?(?:([-+0-9.]+)M)?(?:([-+0-9.]+)W)?(?:([-+0-9.]+)D)?(?:T(?:([-+0-9.]+)H)?(?:([-+0-9.]+)M)?(?:([-+0-9.]+)S)?)?$"
+
+
+def parse_duration(text: Column) -> Column:
+    """``duration('P1Y2M3W4DT5H6M7.5S')``; null for null and for text that is no duration."""
+
+    def group(k: int) -> Column:
+        found = F.regexp_extract(text, _DURATION, k)
+        return F.coalesce(F.when(found != "", found).try_cast("double"), F.lit(0.0)) * sign
+
+    sign = F.when(F.regexp_extract(text, _DURATION, 1) == "-", F.lit(-1.0)).otherwise(F.lit(1.0))
+    y, m, w, d, h, mi, se = (group(k) for k in range(2, 9))
+    return F.when(text.rlike(_DURATION) & (F.char_length(text) > 1), duration_of(years=y, months=m, weeks=w, days=d, hours=h, minutes=mi, seconds=se))
+
+
+_WHOLE = {"years": ("months", 12), "quarters": ("months", 3), "months": ("months", 1), "weeks": ("days", 7), "days": ("days", 1),
+          "hours": ("seconds", 3600), "minutes": ("seconds", 60), "seconds": ("seconds", 1)}
+_INSIDE = {"quartersOfYear": ("months", 12, 3), "monthsOfYear": ("months", 12, 1), "monthsOfQuarter": ("months", 3, 1), "daysOfWeek": ("days", 7, 1),
+           "minutesOfHour": ("seconds", 3600, 60), "secondsOfMinute": ("seconds", 60, 1)}
+_FINE = {"milliseconds": 1000, "microseconds": 1_000_000, "nanoseconds": 1_000_000_000}
+
+
+def duration_part(d: Column, name: str) -> Column:
+    """A component: the whole of its group (``minutes``: of all seconds) or what is left in the next
+    larger one (``minutesOfHour``)."""
+    if name in _WHOLE:
+        group, size = _WHOLE[name]
+        return _div(d[group], size)
+    if name in _INSIDE:
+        group, outer, size = _INSIDE[name]
+        return _div(d[group] % outer, size)
+    fine = name.removesuffix("OfSecond")
+    per = _FINE[fine]
+    below = _div(d["nanos"], 1_000_000_000 // per)
+    return below if name.endswith("OfSecond") else d["seconds"] * per + below
+
+
+# Constructors.  A text that has no such form gives null.
+
+_DATE = r"^([0-9]{4})(?:-?(?:W([0-9]{2})(?:-?([1-7]))?|Q([1-4])-?([0-9]{1,2})|([0-9]{3})|([0-9]{2})(?:-?([0-9]{2}))?))?$"
+_TIME = r"^([0-9]{2})(?::?([0-9]{2})(?::?([0-9]{2})(?:[.,]([0-9]{1,9}))?)?)?$"
+_ZONE = r"(Z|[-+][0-9]{2}(?::?[0-9]{2})?)?(?:\[([^\]]+)\])?$"
+
+
+def _number(text: Column, pattern: str, group: int) -> Column:
+    found = F.regexp_extract(text, pattern, group)
+    return F.when(found != "", found).try_cast("int")
+
+
+def date_of(
+    year: Column, month: Column | None = None, day: Column | None = None, week: Column | None = None, day_of_week: Column | None = None,
+    quarter: Column | None = None, day_of_quarter: Column | None = None, ordinal_day: Column | None = None,
+) -> Column:
+    """``date({year, ...})`` by month and day, by week, by quarter, or by day of the year; what is left out is 1."""
+    one = F.lit(1)
+    year = year.cast("int")
+    if week is not None:
+        first = F.trunc(F.make_date(year, one, F.lit(4)), "week")
+        return F.date_add(first, ((week - 1) * 7 + F.coalesce(day_of_week, one) - 1).cast("int"))
+    if quarter is not None:
+        return F.date_add(F.make_date(year, (quarter * 3 - 2).cast("int"), one), (F.coalesce(day_of_quarter, one) - 1).cast("int"))
+    if ordinal_day is not None:
+        return F.date_add(F.make_date(year, one, one), (ordinal_day - 1).cast("int"))
+    return F.make_date(year, (one if month is None else F.coalesce(month, one)).cast("int"), (one if day is None else F.coalesce(day, one)).cast("int"))
+
+
+def parse_date(text: Column) -> Column:
+    """``date('...')``: year, year-month, year-month-day, year-Www-d, year-Qq-d and year-ddd, dashes optional."""
+    y, w, dw, q, dq, o, m, d = (_number(text, _DATE, k) for k in range(1, 9))
+    found = F.when(w.isNotNull(), date_of(y, week=w, day_of_week=dw)).when(q.isNotNull(), date_of(y, quarter=q, day_of_quarter=dq))
+    found = found.when(o.isNotNull(), date_of(y, ordinal_day=o))
+    plain = F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(F.coalesce(m, F.lit(1)).cast("string"), 2, "0"), F.lpad(F.coalesce(d, F.lit(1)).cast("string"), 2, "0"))
+    return F.when(text.rlike(_DATE), found.otherwise(plain.try_cast("date")))
+
+
+def time_of(hour: Column, minute: Column | int = 0, second: Column | int = 0, nanosecond: Column | int = 0) -> Column:
+    """``localtime({...})`` as nanoseconds of the day."""
+    minute, second, nanosecond = (F.lit(x) if isinstance(x, int) else x for x in (minute, second, nanosecond))
+    return ((hour.cast("long") * 60 + minute) * 60 + second) * 1_000_000_000 + nanosecond
+
+
+def parse_time(text: Column) -> Column:
+    """``localtime('hh:mm:ss.fff')``, colons optional, as nanoseconds of the day."""
+    zero = F.lit(0)
+    h, m, s = (F.coalesce(_number(text, _TIME, k), zero) for k in (1, 2, 3))
+    fraction = F.rpad(F.regexp_extract(text, _TIME, 4), 9, "0").cast("long")
+    return F.when(text.rlike(_TIME) & (h < 24) & (m < 60) & (s < 60), time_of(h, m, s, fraction))
+
+
+def time_part(nanos: Column, name: str) -> Column:
+    size, of = {"hour": (3_600_000_000_000, 24), "minute": (60_000_000_000, 60), "second": (1_000_000_000, 60),
+                "millisecond": (1_000_000, 1000), "microsecond": (1000, 1_000_000), "nanosecond": (1, 1_000_000_000)}[name]
+    return _div(nanos, size) % of
+
+
+def date_time(day: Column, nanos: Column) -> Column:
+    """A local date-time from a date and a time of day, to the microsecond."""
+    return F.timestamp_micros(F.unix_date(day).cast("long") * 86_400_000_000 + _div(nanos, 1000)).cast("timestamp_ntz")
+
+
+def parse_local_datetime(text: Column) -> Column:
+    """``localdatetime('<date>T<time>')``; a date alone is its midnight.  The session's zone has to be UTC."""
+    both = F.split(text, "T", 2)
+    at = F.when(F.size(both) > 1, parse_time(both[1])).otherwise(F.lit(0).cast("long"))
+    return date_time(parse_date(both[0]), at)
+
+
+def parse_datetime(text: Column, default_zone: str = "UTC") -> Column:
+    """``datetime('...')``: struct of the local date-time ``local``, ``offset`` in seconds and ``zone``.
+
+    An offset (``Z``, ``+02``, ``+02:00``) or a region in brackets may follow; a region without an
+    offset has that of its rules at that time.
+    """
+    zone = F.regexp_extract(text, _ZONE, 2)
+    mark = F.regexp_extract(text, r"T[^-+Z\[]*(Z|[-+][0-9:]+)", 1)
+    local = parse_local_datetime(F.regexp_extract(text, r"^([^T\[]*(?:T[^-+Z\[]*)?)", 1))
+    digits = F.regexp_replace(mark, "[^0-9]", "")
+    size = F.substring(digits, 1, 2).try_cast("int") * 3600 + F.coalesce(F.substring(digits, 3, 2).try_cast("int"), F.lit(0)) * 60
+    given = F.when(mark == "Z", F.lit(0)).when(mark != "", F.when(mark.startswith("-"), -size).otherwise(size))
+    region = F.when(zone != "", zone).otherwise(F.lit(default_zone))
+    by_rules = _seconds(local) - _seconds(F.to_utc_timestamp(local.cast("timestamp"), region))
+    offset = F.coalesce(given, by_rules.cast("int"))
+    return F.when(local.isNotNull(), F.struct(local.alias("local"), offset.alias("offset"), F.when(zone != "", zone).alias("zone")))
+
+
+def _seconds(c: Column) -> Column:
+    return F.unix_micros(c.cast("timestamp")) / 1_000_000
+
+
+def zone_part(moment: Column, name: str) -> Column:
+    """``offset`` as text, ``offsetSeconds``, ``offsetMinutes``, ``timezone``, ``epochSeconds``, ``epochMillis``."""
+    seconds = moment["offset"]
+    text = F.format_string("%s%02d:%02d", F.when(seconds < 0, "-").otherwise("+"), _div(F.abs(seconds), 3600), _div(F.abs(seconds) % 3600, 60))
+    text = F.when(seconds == 0, F.lit("Z")).otherwise(text)
+    micros = F.unix_micros(moment["local"].cast("timestamp")) - seconds.cast("long") * 1_000_000
+    return {
+        "offset": text, "offsetSeconds": seconds, "offsetMinutes": _div(seconds, 60), "timezone": F.coalesce(moment["zone"], text),
+        "epochSeconds": F.floor(micros / 1_000_000), "epochMillis": F.floor(micros / 1000),
+    }[name]
+
+
+def now(clock: str = "statement") -> Column:
+    """``datetime.statement()`` and ``.transaction()``: the start of the query, one value for all rows, as
+    a query is its own transaction here; ``.realtime()`` is the same, as Spark has no clock for each row."""
+    if clock not in ("statement", "transaction", "realtime"):
+        raise ValueError(f"no clock {clock}")
+    return F.current_timestamp()
+
+
+def truncate_date(unit: str, c: Column, day: Column | int | None = None) -> Column:
+    """``date.truncate(unit, c, {day: ...})``: a date; ``day`` replaces the day of the month."""
+    first = truncate(unit, c).cast("date")
+    return first if day is None else F.make_date(F.year(first), F.month(first), F.lit(day) if isinstance(day, int) else day)

@@ -112,10 +112,19 @@ class PropertyGraph:
         return along.unionByName(against.filter("src <> dst"))
 
     def labels(self) -> DataFrame:
-        return self._names("label", self.nodes)
+        """Labels that some node has."""
+        return self._in_use("label", self.nodes)
 
     def relationship_types(self) -> DataFrame:
-        return self._names("relationshipType", self.rels)
+        """Types that some relationship has."""
+        return self._in_use("relationshipType", self.rels)
+
+    def _in_use(self, column: str, tables: Mapping[str, DataFrame]) -> DataFrame:
+        out = None
+        for name in sorted(tables):
+            one = tables[name].select(F.lit(name).alias(column)).limit(1)
+            out = one if out is None else out.unionByName(one)
+        return out if out is not None else self.spark.createDataFrame([], f"{column} string")
 
     def property_keys(self) -> DataFrame:
         skip = {"id", "rid", "src", "dst"}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.scalar import trim
+
 # The words that the standard analyser leaves out.
 STOP_WORDS = (
     "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with"
@@ -18,8 +20,8 @@ def standard_terms(text: Column) -> Column:
 
 
 def keyword_terms(text: Column) -> Column:
-    """The whole text as its only term."""
-    return F.array_compact(F.array(text))
+    """The whole text as its only term, trimmed and in lower case."""
+    return F.array_compact(F.array(F.lower(trim(text))))
 
 
 def query_nodes(nodes: DataFrame, text: str, query: str, analyzer: str = "standard", every: bool = False) -> DataFrame:

@@ -61,6 +61,37 @@ class Match:
                 rows = rows.filter(F.col(f"{rel}__rid") != F.col(f"{other}__rid"))
         return replace(self, rows=rows, rels=(*self.rels, (rel, types)))
 
+    def bound_hop(self, rel: str, start: str, stop: str, direction: str = "out") -> Match:
+        """``(start)-[rel]->(stop)`` over a relationship that an earlier match has bound with its ends,
+        ``rel__src`` and ``rel__dst``: binds the ends that are not bound yet and compares the others."""
+        src, dst = F.col(f"{rel}__src"), F.col(f"{rel}__dst")
+        ways = {"out": [(src, dst)], "in": [(dst, src)], "both": [(src, dst), (dst, src)]}[direction]
+        out = None
+        for k, (a, b) in enumerate(ways):
+            rows = self.rows if k == 0 else self.rows.filter(src != dst)
+            for variable, end in ((start, a), (stop, b)):
+                name = f"{variable}__id"
+                rows = rows.filter(F.col(name) == end) if name in rows.columns else rows.withColumn(name, end)
+            out = rows if out is None else out.unionByName(rows)
+        return replace(self, rows=out)
+
+    def along(self, start: str, rels: str, stop: str, types: Iterable[str] = ()) -> Match:
+        """``(start)-[rels*]->(stop)`` over a bound list of relationship ids ``rels__rids``: the rows in
+        which they form a path from ``start`` on, with ``stop`` bound to its end.  An empty list stays
+        at ``start``; a null list gives no row."""
+        steps = self.graph.hops([types] if isinstance(types, str) else sorted(types)).select("rid", F.col("start").alias("src"), F.col("stop").alias("dst"))
+        kept = self.rows.columns
+        rows = self.rows.filter(F.col(f"{rels}__rids").isNotNull()).withColumn("row_no", F.monotonically_increasing_id())
+        rows = materialize(rows, "bound-lists")
+        parts = rows.select("row_no", F.posexplode(f"{rels}__rids").alias("place", "rid")).join(steps, "rid")
+        paths = parts.groupBy("row_no").agg(F.array_sort(F.collect_list(F.struct("place", "src", "dst"))).alias("path"))
+        rows = rows.join(paths, "row_no", "left").withColumn("path", F.coalesce("path", F.array().cast(paths.schema["path"].dataType)))
+        chained = F.forall(F.sequence(F.lit(1), F.size("path")), lambda k: (k == 1) | (F.get("path", k - 1)["src"] == F.get("path", k - 2)["dst"]))
+        first = F.when(F.size("path") > 0, F.get("path", F.lit(0))["src"]).otherwise(prop(start, "id"))
+        rows = rows.filter(F.size("path") == F.size(f"{rels}__rids")).filter((F.size("path") == 0) | chained).filter(prop(start, "id") == first)
+        end = F.when(F.size("path") > 0, F.get("path", F.size("path") - 1)["dst"]).otherwise(prop(start, "id"))
+        return replace(self, rows=rows.withColumn(f"{stop}__id", end).select(*kept, f"{stop}__id"))
+
     def part(self, other: Match) -> Match:
         """A second comma-separated part: joined on the variables both bind, else all combinations."""
         shared = [c for c in self.rows.columns if c in other.rows.columns]
@@ -100,6 +131,11 @@ class Match:
         empty = F.array().cast(lists.schema[name].dataType)
         return replace(self, rows=rows.withColumn(name, F.coalesce(F.col(name), empty)))
 
+    def trail_path(self, name: str, rels: str) -> Match:
+        """A named path over the variable-length hop ``rels``."""
+        whole = F.struct(F.col(f"{rels}__nodes").alias("nodes"), F.col(f"{rels}__rids").alias("rels"))
+        return replace(self, rows=self.rows.withColumn(name, whole))
+
     def path(self, name: str, nodes: list[str], rels: list[str]) -> Match:
         """A named path: struct of node ids and relationship ids; null if a part is unmatched."""
         whole = F.struct(
@@ -116,7 +152,8 @@ class Match:
     ) -> Match:
         """``(start)-[rels:types*low..high]->(stop)``: all trails, that is, no relationship twice.
 
-        Binds ``stop__id`` and the list of relationship ids ``rels__rids``.  ``where`` is a condition
+        Binds ``stop__id``, the list of relationship ids ``rels__rids``, and ``rels__nodes``, the ids of the
+        path's nodes in order, so that ``path`` can name it.  ``where`` is a condition
         on each relationship (over ``rid, src, dst, type``).  Without ``high`` it goes on until no
         trail can be longer; the frontier is written out every round.
         """
@@ -125,14 +162,16 @@ class Match:
         step = (step if where is None else step.filter(where)).select("rid", "start", "stop")
         ids, stops = f"{rels}__rids", f"{stop}__id"
         front = self.rows.withColumn(ids, F.array().cast("array<long>")).withColumn(stops, prop(start, "id"))
-        front = front.filter(F.col(stops).isNotNull())
+        walked = f"{rels}__nodes"
+        front = front.filter(F.col(stops).isNotNull()).withColumn(walked, F.array(F.col(stops)))
         columns = front.columns
         found = front if low == 0 else front.limit(0)
         hop = 0
         while high is None or hop < high:
             hop += 1
             front = front.join(step, F.col(stops) == F.col("start")).filter(~F.array_contains(ids, F.col("rid")))
-            front = front.withColumn(ids, F.array_append(ids, F.col("rid"))).withColumn(stops, F.col("stop")).select(*columns)
+            front = front.withColumn(ids, F.array_append(ids, F.col("rid"))).withColumn(stops, F.col("stop"))
+            front = front.withColumn(walked, F.array_append(walked, F.col("stop"))).select(*columns)
             if high is None:
                 front = materialize(front, "trails")
                 if front.isEmpty():
@@ -151,7 +190,7 @@ def match_rels(graph: PropertyGraph, start: str, rel: str, stop: str, types: Ite
     """Every relationship with its two ends."""
     types = [types] if isinstance(types, str) else list(types)
     rows = graph.hops(types, direction).select(
-        F.col("rid").alias(f"{rel}__rid"), F.col("type").alias(f"{rel}__type"),
+        F.col("rid").alias(f"{rel}__rid"), F.col("type").alias(f"{rel}__type"), F.col("src").alias(f"{rel}__src"), F.col("dst").alias(f"{rel}__dst"),
         F.col("start").alias(f"{start}__id"), F.col("stop").alias(f"{stop}__id"),
     )
     return Match(graph, rows, ((rel, frozenset(types)),))

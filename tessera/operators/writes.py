@@ -98,6 +98,51 @@ def remove_properties(graph: PropertyGraph, label: str, ids: DataFrame, names: l
     return set_properties(graph, label, nulls, names)
 
 
+def set_map(graph: PropertyGraph, label: str, ids: DataFrame, values: dict[str, Column], add: bool = False) -> tuple[PropertyGraph, Counters]:
+    """``n = map``, or ``n += map`` with ``add``, on the nodes of ``ids(id)``.
+
+    ``values`` are columns of the node's own table.  Without ``add`` every property that the map
+    does not name is removed; a null in the map removes its property.
+    """
+    table = graph.label_scan(label)
+    hit = table.join(ids.select("id").distinct(), "id", "left_semi")
+    names = list(values) if add else [*values, *(c for c in table.columns if c not in values and c != "id")]
+    empty = {n: F.lit(None).cast(table.schema[n].dataType) for n in names if n not in values}
+    rows = hit.select("id", *((values.get(n, empty.get(n))).alias(n) for n in names))
+    return set_properties(graph, label, rows, names)
+
+
+def merge_rels(graph: PropertyGraph, kind: str, rows: DataFrame, new_rid: Column, directed: bool = True) -> tuple[PropertyGraph, DataFrame, Counters]:
+    """MERGE ``(src)-[:kind]->(dst)`` for the bound ends of ``rows(src, dst)``.
+
+    A pair that has such a relationship matches all of them; a pair without gets one, which its
+    later rows match.  Undirected, one the other way round matches too.  Rows with a null end are
+    an error.  ``new_rid`` makes the id of a created relationship from its ends.
+    """
+    rows = materialize(rows, "merged")
+    if not rows.filter("src IS NULL OR dst IS NULL").isEmpty():
+        raise ValueError("MERGE of a relationship with a null end")
+    table = graph.rels[kind] if kind in graph.rels else graph.spark.createDataFrame([], "rid long, src long, dst long")
+    known = table.select("src", "dst")
+    wanted = rows.select("src", "dst").distinct()
+    if not directed:
+        known = known.unionByName(known.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        wanted = wanted.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    made = materialize(wanted.join(known, ["src", "dst"], "left_anti").withColumn("rid", new_rid.cast("long")), "made")
+    merged = table.unionByName(made, allowMissingColumns=True)
+    ends = merged.select("rid", "src", "dst")
+    if not directed:
+        ends = ends.unionByName(ends.filter("src <> dst").select("rid", F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return graph.with_rels(kind, materialize(merged, "rels")), rows.join(ends, ["src", "dst"]), Counters(rels_created=made.count())
+
+
+def set_rel_properties(graph: PropertyGraph, kind: str, values: DataFrame, names: list[str]) -> tuple[PropertyGraph, Counters]:
+    """SET on relationships: ``values(rid, names...)``, as ``set_properties`` does for nodes; nulls remove."""
+    as_nodes = PropertyGraph(graph.spark, {kind: graph.rels[kind].withColumnRenamed("rid", "id")}, {})
+    done, counters = set_properties(as_nodes, kind, values.withColumnRenamed("rid", "id"), names)
+    return graph.with_rels(kind, done.nodes[kind].withColumnRenamed("id", "rid")), counters
+
+
 def relabel(graph: PropertyGraph, ids: DataFrame, add: str | None = None, remove: str | None = None) -> PropertyGraph:
     """SET n:Label and REMOVE n:Label: moves nodes into or out of a label's table."""
     ids = ids.select("id").distinct()

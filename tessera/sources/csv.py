@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.graph import PropertyGraph
@@ -19,9 +19,10 @@ _KINDS = {
 def load_csv(spark: SparkSession, path: str, headers: bool = True, delimiter: str = ",") -> DataFrame:
     """LOAD CSV: one column ``row``, a map by header name or a list of strings.
 
-    Every value is a string.  A short record has nulls, extra fields are dropped.
+    Every value is a string, line breaks in quotes included.  A short record has nulls, extra fields
+    are dropped; of two headers of one name each gets its place behind the name.
     """
-    raw = spark.read.csv(path, header=headers, sep=delimiter, inferSchema=False, escape='"', multiLine=False)
+    raw = spark.read.csv(path, header=headers, sep=delimiter, inferSchema=False, escape='"', multiLine=True)
     columns = [F.col(f"`{c}`").cast("string") for c in raw.columns]
     if not headers:
         return raw.select(F.array(*columns).alias("row"))
@@ -71,7 +72,7 @@ def _cell(f: Field, separator: str) -> Column:
 
 
 def _read(spark: SparkSession, path: str, delimiter: str) -> tuple[DataFrame, dict[str, Field], list[Field]]:
-    raw = spark.read.csv(path, header=True, sep=delimiter, inferSchema=False, escape='"')
+    raw = spark.read.csv(path, header=True, sep=delimiter, inferSchema=False, escape='"', multiLine=True)
     fields = parse_header(raw.columns)
     return raw, {f.role: f for f in fields if f.role}, [f for f in fields if not f.role]
 
@@ -97,8 +98,6 @@ def bulk_nodes(
         if again:
             raise ValueError(f"id {again[0][0]!r} is given twice")
         return rows.withColumn("id", F.xxhash64("external_id"))
-    from pyspark.sql import Window
-
     order = Window.partitionBy("external_id").orderBy(F.xxhash64(*[c for c in rows.columns if c != "external_id"]))
     rows = rows.withColumn("copy", F.row_number().over(order))
     return rows.withColumn("id", F.when(F.col("copy") == 1, F.xxhash64("external_id")).otherwise(F.xxhash64("external_id", "copy"))).drop("copy")
@@ -119,7 +118,11 @@ def bulk_rels(spark: SparkSession, path: str, nodes: DataFrame, kind: str | None
         lost = rows.join(nodes.select(F.col("id").alias(side)), side, "left_anti").limit(1).collect()
         if lost:
             raise ValueError(f"a relationship's {side} is not a node")
-    return rows.withColumn("rid", F.xxhash64(*rows.columns))
+    # Parallel relationships with equal properties are numbered, so that each has an id of its own.
+    whole = F.xxhash64(*rows.columns)
+    rows = rows.withColumn("whole", whole)
+    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("whole").orderBy("src")))
+    return rows.withColumn("rid", F.when(F.col("copy") == 1, F.col("whole")).otherwise(F.xxhash64("whole", "copy"))).drop("whole", "copy")
 
 
 def graph_from_bulk(spark: SparkSession, nodes: list[str], rels: list[str], **options) -> PropertyGraph:
