@@ -255,6 +255,8 @@ def has_labels(labels: Column, *wanted: str) -> Column:
 
 def properties(columns: list[str]) -> Column:
     """``properties(n)``: the columns that are not null, as a map from name to text."""
+    if not columns:
+        return F.create_map().cast("map<string,string>")
     pairs = F.array(*(F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v")) for c in columns))
     return F.map_from_entries(F.filter(pairs, lambda p: p["v"].isNotNull()))
 

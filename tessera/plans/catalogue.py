@@ -211,23 +211,24 @@ def named_path(g):
 
 
 def _nation_pairs(g):
-    a = g.label_scan("Supplier").filter("s_suppkey < 3").select(F.col("id").alias("source"))
-    return a.crossJoin(g.label_scan("Nation").select(F.col("id").alias("target")))
+    """Every supplier with every nation of its region."""
+    m = match(g, "s", "Supplier", []).hop("s", "x", "n", "IN_NATION").hop("n", "y", "r", "IN_REGION")
+    others = match(g, "r", "Region", []).hop("r", "z", "t", "IN_REGION", "in")
+    return m.rows.join(others.rows.select("r__id", "t__id"), "r__id").select(F.col("s__id").alias("source"), F.col("t__id").alias("target"))
 
 
-@query("SELECT s_suppkey AS source, b.n_nationkey AS target, CASE WHEN a.n_nationkey = b.n_nationkey THEN 1 ELSE 3 END AS length FROM supplier JOIN nation a ON s_nationkey = a.n_nationkey JOIN nation b ON a.n_regionkey = b.n_regionkey WHERE s_suppkey < 3")
+@query("SELECT s_suppkey AS source, b.n_nationkey AS target, CASE WHEN a.n_nationkey = b.n_nationkey THEN 1 ELSE 3 END AS length FROM supplier JOIN nation a ON s_nationkey = a.n_nationkey JOIN nation b ON a.n_regionkey = b.n_regionkey")
 def shortest_path(g):
     """shortestPath((s:Supplier)-[:IN_NATION|IN_REGION*..4]-(n:Nation))"""
     found = shortest_paths(g, _nation_pairs(g), ["IN_NATION", "IN_REGION"], "both", high=4)
     return found.select((F.col("source") % SPACE).alias("source"), (F.col("target") % SPACE).cast("int").alias("target"), "length")
 
 
-@query("SELECT c.c_custkey AS source, p.p_partkey AS target, 2 AS length, count(*) AS paths FROM customer c JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part p ON p_partkey = l_partkey WHERE c_custkey < 20 AND p_partkey < 100 GROUP BY ALL")
+@query("SELECT c.c_custkey AS source, p.p_partkey AS target, 2 AS length, count(*) AS paths FROM customer c JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part p ON p_partkey = l_partkey GROUP BY ALL")
 def all_shortest_paths(g):
     """allShortestPaths((c:Customer)-[:PLACED|CONTAINS*..2]->(p:Part)); parallel lines make paths of their own."""
-    pairs = g.label_scan("Customer").filter("c_custkey < 20").select(F.col("id").alias("source")).crossJoin(
-        g.label_scan("Part").filter("p_partkey < 100").select(F.col("id").alias("target"))
-    )
+    bought = match(g, "c", "Customer", []).hop("c", "x", "o", "PLACED").hop("o", "y", "p", "CONTAINS").rows
+    pairs = bought.select(F.col("c__id").alias("source"), F.col("p__id").alias("target"))
     found = shortest_paths(g, pairs, ["PLACED", "CONTAINS"], "out", high=2, every=True)
     return found.groupBy((F.col("source") % SPACE).alias("source"), (F.col("target") % SPACE).alias("target"), "length").agg(agg.count().alias("paths"))
 
@@ -400,12 +401,12 @@ def fulltext_lookup(g):
     return found.select((F.col("node") % SPACE).alias("doc_id"), "score")
 
 
-@query("SELECT unnest(['Customer', 'Doc', 'Event', 'Nation', 'Order', 'Part', 'Region', 'Supplier', 'User']) AS label")
+@query("SELECT 'Customer' AS label WHERE EXISTS (SELECT 1 FROM customer) UNION ALL SELECT 'Doc' AS label WHERE EXISTS (SELECT 1 FROM documents) UNION ALL SELECT 'Event' AS label WHERE EXISTS (SELECT 1 FROM events) UNION ALL SELECT 'Nation' AS label WHERE EXISTS (SELECT 1 FROM nation) UNION ALL SELECT 'Order' AS label WHERE EXISTS (SELECT 1 FROM orders) UNION ALL SELECT 'Part' AS label WHERE EXISTS (SELECT 1 FROM part) UNION ALL SELECT 'Region' AS label WHERE EXISTS (SELECT 1 FROM region) UNION ALL SELECT 'Supplier' AS label WHERE EXISTS (SELECT 1 FROM supplier) UNION ALL SELECT 'User' AS label WHERE EXISTS (SELECT 1 FROM events)")
 def db_labels(g):
     return g.labels()
 
 
-@query("SELECT unnest(['CONTAINS', 'DID', 'IN_NATION', 'IN_REGION', 'PLACED', 'SUPPLIES']) AS \"relationshipType\"")
+@query("SELECT 'CONTAINS' AS \"relationshipType\" WHERE EXISTS (SELECT 1 FROM lineitem) UNION ALL SELECT 'DID' AS \"relationshipType\" WHERE EXISTS (SELECT 1 FROM events) UNION ALL SELECT 'IN_NATION' AS \"relationshipType\" WHERE EXISTS (SELECT 1 FROM customer) UNION ALL SELECT 'IN_REGION' AS \"relationshipType\" WHERE EXISTS (SELECT 1 FROM nation) UNION ALL SELECT 'PLACED' AS \"relationshipType\" WHERE EXISTS (SELECT 1 FROM orders) UNION ALL SELECT 'SUPPLIES' AS \"relationshipType\" WHERE EXISTS (SELECT 1 FROM lineitem)")
 def db_relationship_types(g):
     return g.relationship_types()
 
@@ -451,60 +452,67 @@ def weak_components(g):
 
 
 _RANK_ROUNDS = 12
-_RANK_SQL = """
-WITH RECURSIVE n AS (SELECT CAST(r_regionkey AS BIGINT) AS id FROM region UNION ALL SELECT CAST(n_nationkey AS BIGINT) + SPACE FROM nation),
-e AS (SELECT CAST(n_nationkey AS BIGINT) + SPACE AS a, CAST(n_regionkey AS BIGINT) AS b FROM nation UNION ALL SELECT CAST(n_regionkey AS BIGINT), CAST(n_nationkey AS BIGINT) + SPACE FROM nation),
-d AS (SELECT a, count(*) AS deg FROM e GROUP BY a),
-c AS (SELECT count(*) AS n FROM n),
-p AS (
-  SELECT 0 AS k, id, 1.0::DOUBLE / c.n AS s FROM n, c
-  UNION ALL
-  SELECT k + 1, id, s FROM (
-    SELECT p.k, n.id, 0.15 / any_value(c.n) + 0.85 * coalesce(sum(CASE WHEN e.b = n.id THEN p.s / d.deg END), 0) AS s
-    FROM n, c, p LEFT JOIN e ON e.a = p.id LEFT JOIN d ON d.a = p.id WHERE p.k < 12 GROUP BY p.k, n.id
-  )
-)
-SELECT id AS "nodeId", round(s, 6) AS score FROM p WHERE k = 12
-"""
 
 
-@query(_RANK_SQL)
+def _rank_sql() -> str:
+    """The rounds of PageRank written out one by one, over the undirected tree of regions to customers."""
+    steps = ["n AS (SELECT a AS id FROM t UNION SELECT b FROM t UNION SELECT CAST(r_regionkey AS BIGINT) FROM region)",
+             "e AS (SELECT a, b FROM t UNION ALL SELECT b, a FROM t)", "d AS (SELECT a, count(*) AS deg FROM e GROUP BY a)",
+             "c AS (SELECT count(*) AS n FROM n)", "p0 AS MATERIALIZED (SELECT id, 1.0::DOUBLE / c.n AS s FROM n, c)"]
+    for k in range(_RANK_ROUNDS):
+        # What nodes without an edge hold is shared by all.
+        lost = f"(SELECT coalesce(sum(s), 0) FROM p{k} WHERE id NOT IN (SELECT a FROM d))"
+        got = f"SELECT e.b AS id, sum(p{k}.s / d.deg) AS g FROM e JOIN p{k} ON p{k}.id = e.a JOIN d ON d.a = e.a GROUP BY e.b"
+        steps.append(f"g{k} AS MATERIALIZED ({got})")
+        steps.append(f"p{k + 1} AS MATERIALIZED (SELECT n.id, 0.15 / c.n + 0.85 * (coalesce(g, 0) + {lost} / c.n) AS s FROM n CROSS JOIN c LEFT JOIN g{k} ON g{k}.id = n.id)")
+    return f"WITH {_TREE_SQL}, {', '.join(steps)} SELECT id AS \"nodeId\", round(s, 9) AS score FROM p{_RANK_ROUNDS}"
+
+
+_TREE_SQL = """t AS (
+  SELECT n_nationkey + SPACE AS a, CAST(n_regionkey AS BIGINT) AS b FROM nation UNION ALL
+  SELECT c_custkey + 2 * SPACE, c_nationkey + SPACE FROM customer UNION ALL SELECT s_suppkey + 3 * SPACE, s_nationkey + SPACE FROM supplier
+)"""
+
+
+@query(_rank_sql())
 def page_rank(g):
-    """Twelve rounds on regions and nations."""
-    nodes = g.label_scan("Region").select("id").unionByName(g.label_scan("Nation").select("id"))
-    edges = g.rels["IN_REGION"].select("src", "dst", F.lit(1.0).alias("weight"))
+    """Twelve rounds on regions, nations, suppliers and customers."""
+    nodes, edges = _tree(g)
+    edges = edges.withColumn("weight", F.lit(1.0))
     found = algorithms.pagerank(algorithms.project_edges(nodes, edges), max_iterations=_RANK_ROUNDS, tolerance=0.0)
-    return found.select("nodeId", F.round("score", 6).alias("score"))
+    return found.select("nodeId", F.round("score", 9).alias("score"))
 
 
-def _buyers(g):
-    """Customers of a nation linked to each other through the sizes of what they ordered: a same-label graph."""
-    m = match(g, "c", "Customer", []).hop("c", "x", "n", "IN_NATION")
-    pairs = m.hop("n", "y", "d", "IN_NATION", "in", "Customer", []).where((prop("c", "id") < prop("d", "id")) & ((prop("c", "id") + prop("d", "id")) % 7 < 2))
-    edges = pairs.rows.select(prop("c", "id").alias("src"), prop("d", "id").alias("dst"), F.lit(1.0).alias("weight"))
-    return algorithms.project_edges(g.label_scan("Customer").select("id"), edges)
+def _trade(g):
+    """Orders, parts and suppliers: what a line has ordered from whom, so that every line is a triangle."""
+    lines = g.rels["CONTAINS"].select(F.col("src").alias("o"), F.col("dst").alias("p"), node_id("Supplier", "l_suppkey").alias("s"))
+    edges = None
+    for a, b in (("o", "p"), ("o", "s"), ("s", "p")):
+        one = lines.select(F.col(a).alias("src"), F.col(b).alias("dst"), F.lit(1.0).alias("weight")).distinct()
+        edges = one if edges is None else edges.unionByName(one)
+    nodes = g.label_scan("Order").select("id").unionByName(g.label_scan("Part").select("id")).unionByName(g.label_scan("Supplier").select("id"))
+    return algorithms.project_edges(nodes, edges)
 
 
-_BUYERS_SQL = """e AS (
-  SELECT a.c_custkey + 2 * SPACE AS a, b.c_custkey + 2 * SPACE AS b FROM customer a JOIN customer b
-  ON a.c_nationkey = b.c_nationkey AND a.c_custkey < b.c_custkey AND (a.c_custkey + b.c_custkey + 4 * SPACE) % 7 < 2
-)"""
+_TRADE_SQL = """op AS (SELECT DISTINCT l_orderkey + 5 * SPACE AS o, l_partkey + 4 * SPACE AS p FROM lineitem),
+os AS (SELECT DISTINCT l_orderkey + 5 * SPACE AS o, l_suppkey + 3 * SPACE AS s FROM lineitem),
+sp AS (SELECT DISTINCT l_suppkey + 3 * SPACE AS s, l_partkey + 4 * SPACE AS p FROM lineitem),
+n AS (SELECT o_orderkey + 5 * SPACE AS id FROM orders UNION ALL SELECT p_partkey + 4 * SPACE FROM part UNION ALL SELECT s_suppkey + 3 * SPACE FROM supplier),
+t AS (SELECT op.o, op.p, os.s FROM op JOIN os ON os.o = op.o JOIN sp ON sp.s = os.s AND sp.p = op.p),
+u AS (SELECT o AS v FROM t UNION ALL SELECT p FROM t UNION ALL SELECT s FROM t), k AS (SELECT v, count(*) AS n FROM u GROUP BY v)"""
 
 
-@query(f"""WITH {_BUYERS_SQL}, t AS (SELECT x.a, x.b, y.b AS c FROM e x JOIN e y ON x.b = y.a JOIN e z ON z.a = x.a AND z.b = y.b),
-u AS (SELECT a AS v FROM t UNION ALL SELECT b FROM t UNION ALL SELECT c FROM t), k AS (SELECT v, count(*) AS n FROM u GROUP BY v)
-SELECT c_custkey + 2 * SPACE AS "nodeId", coalesce(n, 0) AS "triangleCount" FROM customer LEFT JOIN k ON v = c_custkey + 2 * SPACE""")
+@query(f"""WITH {_TRADE_SQL} SELECT id AS "nodeId", coalesce(k.n, 0) AS "triangleCount" FROM n LEFT JOIN k ON v = id""")
 def triangle_count(g):
-    return algorithms.triangles(_buyers(g))
+    return algorithms.triangles(_trade(g))
 
 
-@query(f"""WITH {_BUYERS_SQL}, t AS (SELECT x.a, x.b, y.b AS c FROM e x JOIN e y ON x.b = y.a JOIN e z ON z.a = x.a AND z.b = y.b),
-u AS (SELECT a AS v FROM t UNION ALL SELECT b FROM t UNION ALL SELECT c FROM t), k AS (SELECT v, count(*) AS n FROM u GROUP BY v),
+@query(f"""WITH {_TRADE_SQL}, e AS (SELECT o AS a, p AS b FROM op UNION ALL SELECT o, s FROM os UNION ALL SELECT s, p FROM sp),
 d AS (SELECT v, count(*) AS d FROM (SELECT a AS v FROM e UNION ALL SELECT b FROM e) GROUP BY v)
-SELECT c_custkey + 2 * SPACE AS "nodeId", CASE WHEN d >= 2 THEN round(coalesce(n, 0) / (d * (d - 1) / 2), 9) ELSE 0.0 END AS coefficient
-FROM customer LEFT JOIN k ON k.v = c_custkey + 2 * SPACE LEFT JOIN d ON d.v = c_custkey + 2 * SPACE""")
+SELECT id AS "nodeId", CASE WHEN d >= 2 THEN round(coalesce(k.n, 0) / (d * (d - 1) / 2), 9) ELSE 0.0 END AS coefficient
+FROM n LEFT JOIN k ON k.v = id LEFT JOIN d ON d.v = id""")
 def clustering_coefficient(g):
-    return algorithms.clustering(_buyers(g)).select("nodeId", F.round("coefficient", 9).alias("coefficient"))
+    return algorithms.clustering(_trade(g)).select("nodeId", F.round("coefficient", 9).alias("coefficient"))
 
 
 def _tree(g):
@@ -516,11 +524,6 @@ def _tree(g):
     return nodes, edges
 
 
-_TREE_SQL = """t AS (
-  SELECT n_nationkey + SPACE AS a, CAST(n_regionkey AS BIGINT) AS b FROM nation UNION ALL
-  SELECT c_custkey + 2 * SPACE, c_nationkey + SPACE FROM customer UNION ALL SELECT s_suppkey + 3 * SPACE, s_nationkey + SPACE FROM supplier
-)"""
-
 
 @query(f"""WITH RECURSIVE {_TREE_SQL}, w AS (SELECT a, b, CAST(a % 10 + 1 AS DOUBLE) AS w FROM t UNION ALL SELECT b, a, CAST(a % 10 + 1 AS DOUBLE) FROM t),
 r AS (SELECT CAST(0 AS BIGINT) AS id, CAST(-1 AS BIGINT) AS came, 0.0::DOUBLE AS d UNION ALL SELECT w.b, r.id, r.d + w.w FROM r JOIN w ON w.a = r.id AND w.b <> r.came)
@@ -568,7 +571,7 @@ def betweenness_centrality(g):
 @query()
 def label_propagation(g):
     """Synchronous variant; see its docstring."""
-    return algorithms.label_propagation(_buyers(g))
+    return algorithms.label_propagation(_trade(g))
 
 
 # Writes

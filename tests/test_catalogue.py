@@ -1,7 +1,7 @@
 import pytest
 
 from tests.compare import check
-from tessera.plans import catalogue
+from tessera.plans import catalogue, values  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
