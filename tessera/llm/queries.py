@@ -23,16 +23,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def surrogate_key(spark: SparkSession) -> bytes:
+    """The key of the setting ``tessera.surrogate.key``; without one a fixed key for reproducible test rows."""
+    return spark.conf.get("tessera.surrogate.key", "rows of synthetic test tables").encode()
+
+
 def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with surrogates in place of personal data, and how many mentions were replaced."""
-    return surrogates.pseudonymise(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_replaced")
+    return surrogates.pseudonymise(_table(spark, sf_dir, "documents"), surrogate_key(spark)).select("doc_id", "text", "n_replaced")
 
 
 def op2_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 4096 tokens."""
     return nnls_packing.pack(_table(spark, sf_dir, "documents"))
 
 
 def op3_mil_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, with the numbers of its sentences and of the offending ones."""
     return mil_toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
@@ -47,22 +54,27 @@ def op5_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probabilities of every document under the unigram base and under the model."""
     return maxent_lm.score(_table(spark, sf_dir, "documents"))
 
 
 def op7_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
     return compression_quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op8_va_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best other vectors of every hundredth vector."""
     return va_search.exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixed rule and the verdict of every page."""
     return url_rules.judge(_table(spark, sf_dir, "pages"))
 
 
 def op10_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 

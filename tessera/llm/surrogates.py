@@ -33,6 +33,11 @@ GIVEN = {
     ("f", "cyrillic"): "алина анна вера галина дарья елена зоя ирина лариса мария нина ольга полина раиса софья юлия".split(),
 }
 _GENDER = {name: gender for (gender, _), names in GIVEN.items() for name in names}
+# Mail domains so many people share that they tell nobody, words before a top-level
+# domain that belong to it, and phrases that announce a name.
+PROVIDERS = set("gmail.com googlemail.com yahoo.com outlook.com hotmail.com live.com icloud.com aol.com proton.me gmx.de gmx.net web.de t-online.de orange.fr free.fr laposte.net mail.ru yandex.ru example.com example.org example.net".split())
+_SECOND_LEVEL = set("ac co com edu gov net org".split())
+_PHRASE = r"[Mm]y name is|[Ii]ch heiße|[Mm]ein Name ist|[Jj]e m['’]appelle|[Mm]e llamo|[Mm]i nombre es|[Мм]еня зовут"
 _SYLLABLES = {
     "latin": "ba be bor da del dor fa fen gar gol ha hol ka kel kor la len lor ma mer mon na nel nor pa per ra ren ros sa sel sor ta tel tor va ven vor wa wel wor za zel".split(),
     "cyrillic": "ба бел бор ва вер вол га гор да дел дор за зел ка ков кор ла лев лок ма мел мор на нев нор па пер ра род са сев сор та тел тор фа хар ча шев".split(),
@@ -40,8 +45,9 @@ _SYLLABLES = {
 }
 _TITLE = "|".join(sorted((re.escape(t) for t in TITLES), key=len, reverse=True))
 _NAME = r"[^\W\d_][^\W\d_'’-]*"
+_KNOWN = "|".join(sorted({n.capitalize() for names in GIVEN.values() for n in names}))
 _SECRET = r"(?:password|passwd|token|api_key)(?:=|[ \t]*=(?!=)[ \t]*)"
-_TRIGGER = re.compile(rf"[0-9@]|AKIA|{_SECRET}|\b(?:{_TITLE})\s")
+_TRIGGER = re.compile(rf"[0-9@]|AKIA|{_SECRET}|\b(?:{_TITLE}|{_PHRASE})\s|(?=[A-ZА-ЯЁ])\b(?:{_KNOWN}) [^\W\d_a-z]")
 _WORD = re.compile(r"\b[^\W\d_]+\b")
 _PLAIN = re.compile(r"(?P<key>AKIA[A-Z0-9]{16})|(?P<hash>(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,64})")
 _FIND = re.compile(
@@ -56,7 +62,8 @@ _FIND = re.compile(
             r"(?P<card>(?<![\d-])(?:\d{4}[ -]?){3}\d{1,7}(?![\d-]))",
             r"(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))",
             r"(?P<phone>(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3,4}[ .-]\d{3,4}(?!\d)|(?<![\d+])\+\d{8,15}(?!\d))",
-            rf"(?P<title>\b(?:{_TITLE})\s+)(?P<first>{_NAME})(?:(?P<gap>[ ])(?P<last>{_NAME}))?",
+            rf"(?=[A-ZА-ЯЁijmгм])(?P<title>\b(?:{_TITLE}|{_PHRASE})\s+)(?P<first>{_NAME})(?:(?P<gap>[ ])(?P<last>{_NAME}))?",
+            rf"(?=[A-ZА-ЯЁ])\b(?P<given>(?:{_KNOWN})) (?P<name>(?:[^\W\d_]\. )?[^\W\d_a-z][^\W\d_'’-]*[^\W\d_])",
         ]
     )
 )
@@ -73,7 +80,9 @@ def script_of(word: str) -> str:
 def find_entities(text: str) -> list[tuple[int, int, str, str]]:
     """``(start, end, type, entity)`` in text order; ``entity`` is the mention without its format.
 
-    A title followed by two capitalised words is a given name and a surname, by one a surname.
+    A title, or a phrase such as "my name is", followed by two capitalised words is a given name and
+    a surname, by one a surname; a common given name and a capitalised word behind it (perhaps
+    after an initial) are a name without a title.
     Names count word by word, so a mention by surname alone is the same entity; once a name is
     found, its other capitalised mentions in the text count without a title too.  A secret may stand
     in quotes, which aren't part of it.
@@ -88,13 +97,19 @@ def find_entities(text: str) -> list[tuple[int, int, str, str]]:
             if not first[0].isupper():
                 continue
             if last and last[0].isupper():
-                gender = TITLES[m["title"].strip()]
+                gender = TITLES.get(m["title"].strip(), "x")
                 gender = _GENDER.get(first.lower(), "m") if gender == "x" else gender
                 found.append((*m.span("first"), f"given {gender} {script_of(first)}", first.lower()))
                 found.append((*m.span("last"), f"surname {script_of(last)}", last.lower()))
             else:
                 found.append((*m.span("first"), f"surname {script_of(first)}", first.lower()))
             continue
+        if m["given"]:
+            first, last = m["given"], m["name"].split(" ")[-1]
+            if last[0].isupper():
+                found.append((*m.span("given"), f"given {_GENDER[first.lower()]} {script_of(first)}", first.lower()))
+                found.append((m.end("name") - len(last), m.end("name"), f"surname {script_of(last)}", last.lower()))
+            continue
         kind = m.lastgroup
         start, end = m.span(kind)
         mention = m[kind]
@@ -170,6 +185,21 @@ def _luhn_digit(digits: str) -> str:
     return str(-total % 10)
 
 
+def _iban_digits(country: str, body: str) -> str:
+    """The two check digits of an IBAN: 98 less the remainder by 97, letters counting from 10."""
+    digits = "".join(str(int(c, 36)) for c in body + country) + "00"
+    return f"{98 - int(digits) % 97:02d}"
+
+
+def _domain(secret: bytes, domain: str) -> str:
+    """The surrogate of a mail domain: that of a provider stays, under any other every label but the
+    top level is replaced, the same way in all addresses."""
+    labels = domain.split(".")
+    kept = 2 if ".".join(labels[-2:]) in PROVIDERS or (len(labels) > 2 and labels[-2] in _SECOND_LEVEL) else 1
+    numbers = _stream(secret, "domain", domain)
+    return ".".join([*(_same_shape(x, numbers) for x in labels[:-kept]), *labels[-kept:]])
+
+
 def propose(secret: bytes, kind: str, entity: str, attempt: int) -> str:
     """The surrogate of ``entity`` at its ``attempt``-th try, in the entity's own normal form.
 
@@ -190,8 +220,7 @@ def propose(secret: bytes, kind: str, entity: str, attempt: int) -> str:
         return _surname(kind.split()[1], numbers, 3 + more)
     if kind == "email":
         local, _, domain = entity.partition("@")
-        labels = domain.split(".")
-        return _same_shape(local + "x" * more, numbers) + "@" + ".".join([*(_same_shape(x, numbers) for x in labels[:-2]), *labels[-2:]])
+        return _same_shape(local + "x" * more, numbers) + "@" + _domain(secret, domain)
     if kind == "ip":
         ranges = {1: (1, 9), 2: (10, 99), 3: (100, 254)}
         octets = []
@@ -215,7 +244,8 @@ def propose(secret: bytes, kind: str, entity: str, attempt: int) -> str:
     if kind == "key":
         return entity[:4] + "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"[next(numbers) % 32] for _ in entity[4:])
     if kind == "iban":
-        return entity[:2] + _same_shape(entity[2:], numbers)
+        body = _same_shape(entity[4:], numbers)
+        return entity[:2] + (_iban_digits(entity[:2], body) if _iban_digits(entity[:2], entity[4:]) == entity[2:4] else _same_shape(entity[2:4], numbers)) + body
     if kind == "secret":
         shape = _hex_shape if re.fullmatch(r"[0-9a-f]+", entity) else _same_shape
         return shape(entity + "a" * more, numbers)
@@ -254,7 +284,9 @@ def resolve(entities: DataFrame, secret: bytes, max_rounds: int = 60) -> DataFra
     """``(type, entity, attempt, surrogate)`` for the distinct rows of ``entities(type, entity)``.
 
     Of the entities of a type that propose the same surrogate the smallest keeps it; the others,
-    and all whose proposal is an entity of the corpus, try again.  A check is one aggregation by
+    and all whose proposal is an entity of the corpus, try again; given names and surnames count as
+    one type here.  Where a format has fewer values than the corpus has entities of it, the rounds
+    run out and a RuntimeError says so.  A check is one aggregation by
     surrogate over entities and proposals together, so a hot entity is one row.
     """
 
@@ -266,14 +298,16 @@ def resolve(entities: DataFrame, secret: bytes, max_rounds: int = 60) -> DataFra
         return materialize(frame.withColumn("surrogate", proposal("type", "entity", "attempt")), "proposals")
 
     table = proposed(entities.select("type", "entity", F.lit(0).alias("attempt")))
+    space = F.when(F.col("type").rlike("^(given|surname)"), "name").otherwise(F.col("type")).alias("space")
+    claim = F.concat_ws("=", F.lit(""), "type", "entity").alias("claim")
     for _ in range(max_rounds):
         # An original counts as "" in the comparison, so it goes before every proposal.
-        claims = table.select("type", "surrogate", F.concat(F.lit("="), "entity").alias("claim")).unionByName(
-            table.select("type", F.col("entity").alias("surrogate"), F.lit("").alias("claim"))
+        claims = table.select(space, "surrogate", claim).unionByName(
+            table.select(space, F.col("entity").alias("surrogate"), F.lit("").alias("claim"))
         )
-        crowded = claims.groupBy("type", "surrogate").agg(F.min("claim").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        checked = table.join(crowded, ["type", "surrogate"], "left")
-        checked = checked.withColumn("lost", F.coalesce(F.col("first") != F.concat(F.lit("="), "entity"), F.lit(False)))
+        crowded = claims.groupBy("space", "surrogate").agg(F.min("claim").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+        checked = table.withColumn("space", space).withColumn("claim", claim).join(crowded, ["space", "surrogate"], "left")
+        checked = checked.withColumn("lost", F.coalesce(F.col("first") != F.col("claim"), F.lit(False)))
         checked = materialize(checked.select("type", "entity", "attempt", "surrogate", "lost"), "checked")
         if not checked.filter("lost").limit(1).count():
             return checked.drop("lost")
@@ -284,13 +318,13 @@ def resolve(entities: DataFrame, secret: bytes, max_rounds: int = 60) -> DataFra
     raise RuntimeError(f"surrogates still clash after {max_rounds} rounds")
 
 
-def pseudonymise(docs: DataFrame, secret: bytes = b"tessera", broadcast_rows: int = 50_000) -> DataFrame:
+def pseudonymise(docs: DataFrame, secret: bytes, broadcast_rows: int = 50_000) -> DataFrame:
     """``docs`` with its ``text`` replaced and a column ``n_replaced``; other columns as they are.
 
     Null texts stay null and empty ones empty, with 0 replacements; rows are neither added nor lost,
     also if they are repeated or lack an id; whole texts are searched.  Equal texts stay equal.
 
-    The generator's first proposals need no table in the tasks.  Entities that had to try again are
+    Whoever knows ``secret`` can test guesses of an original, so it has to be kept.  The generator's first proposals need no table in the tasks.  Entities that had to try again are
     broadcast if there are at most ``broadcast_rows`` of them, and joined to the texts they occur
     in otherwise.  A column that is called ``n_replaced`` already is replaced;
     names that start with two underscores are this function's own.

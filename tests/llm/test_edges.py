@@ -44,7 +44,7 @@ WHOLE = {
     "rules": lambda d, l: rule_cascade.cascade(d),
     "lm": lambda d, l: maxent_lm.score(d, vocabulary=64, buckets=64),
     "simhash": lambda d, l: simhash.near_duplicates(d),
-    "surrogates": lambda d, l: surrogates.pseudonymise(d),
+    "surrogates": lambda d, l: surrogates.pseudonymise(d, b"key"),
 }
 
 
@@ -72,7 +72,7 @@ def test_without_labels(name, docs, labels):
 
 
 def test_surrogates_keep_other_columns(docs):
-    got = surrogates.pseudonymise(docs)
+    got = surrogates.pseudonymise(docs, b"key")
     assert got.columns == [*docs.columns, "n_replaced"]
     rows = {r["doc_id"]: r for r in got.collect()}
     assert rows[2]["text"] is None and rows[3]["text"] == "" and rows[None]["n_replaced"] == 1

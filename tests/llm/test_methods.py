@@ -291,7 +291,7 @@ def test_surrogates_are_distinct_consistent_and_formatted(spark):
     for limit in (0, 10_000):
         mapped = {}
         for before, after in zip(
-            [r[0] for r in rows], [r["text"] for r in surrogates.pseudonymise(docs, broadcast_rows=limit).collect()], strict=True
+            [r[0] for r in rows], [r["text"] for r in surrogates.pseudonymise(docs, b"key", broadcast_rows=limit).collect()], strict=True
         ):
             a, b = surrogates.find_entities(before), surrogates.find_entities(after)
             assert [x[2] for x in a] == [x[2] for x in b]
@@ -443,3 +443,19 @@ def test_packed_ids_are_the_documents(docs, texts):
     for i, t in texts.items():
         ids = [x for _, part in sorted(found[i].items()) for x in part]
         assert ids == np.frombuffer(encoder.ids(t, 2), dtype="<i4").tolist()
+
+
+def test_surrogates_of_names_without_titles_domains_and_ibans():
+    def kinds(text):
+        return [(text[a:b], k) for a, b, k, _ in surrogates.find_entities(text)]
+
+    assert kinds("Maria Garcia said so, and Garcia left") == [("Maria", "given f latin"), ("Garcia", "surname latin"), ("Garcia", "surname latin")]
+    assert kinds("I met Paul T. Weber there") == [("Paul", "given m latin"), ("Weber", "surname latin")]
+    assert kinds("hello, my name is Okonkwo") == [("Okonkwo", "surname latin")]
+    assert kinds("in the rose garden of Clara and the sea") == []
+    out = surrogates.propose(b"k", "email", "jane@smith-family.org", 0)
+    again = surrogates.propose(b"k", "email", "joe@smith-family.org", 0)
+    assert "smith" not in out and out.split("@")[1] == again.split("@")[1] and out.endswith(".org")
+    assert surrogates.propose(b"k", "email", "jane@gmail.com", 0).endswith("@gmail.com")
+    iban = surrogates.propose(b"k", "iban", "DE89370400440532013000", 0)
+    assert iban[:2] == "DE" and iban != "DE89370400440532013000" and surrogates._iban_digits("DE", iban[4:]) == iban[2:4]
