@@ -125,11 +125,14 @@ def time_and_zone(g):
     t = F.col("ts").cast("timestamp_ntz")
     text = F.date_format(t, "HH:mm:ss.SSSSSS")
     day = F.date_format(t, "yyyy-MM-dd")
-    at = temporal.parse_time(text)
-    moment = temporal.parse_datetime(F.concat(day, F.lit("T"), text, F.lit("+02:00[Europe/Berlin]")))
-    return g.label_scan("Event").select(
+    # Columns of their own, so that each text is read once.
+    moment, at = F.col("moment"), F.col("at")
+    rows = g.label_scan("Event").select("event_id", day.alias("day"), text.alias("text"))
+    rows = rows.withColumn("at", temporal.parse_time(F.col("text")))
+    rows = rows.withColumn("moment", temporal.parse_datetime(F.concat("day", F.lit("T"), "text", F.lit("+02:00[Europe/Berlin]"))))
+    return rows.select(
         "event_id", *(temporal.time_part(at, n).alias(a) for n, a in (("hour", "h"), ("minute", "m"), ("second", "s"), ("microsecond", "us"))),
-        temporal.parse_local_datetime(F.concat(day, F.lit("T"), text)).alias("back"), temporal.zone_part(moment, "epochSeconds").alias("epoch"),
+        temporal.parse_local_datetime(F.concat("day", F.lit("T"), "text")).alias("back"), temporal.zone_part(moment, "epochSeconds").alias("epoch"),
         temporal.zone_part(moment, "offset").alias("off"), temporal.zone_part(moment, "offsetMinutes").cast("long").alias("minutes"),
         temporal.zone_part(moment, "timezone").alias("zone"),
     )
