@@ -138,28 +138,29 @@ def mine_rules(
         return spark.createDataFrame([], kind)
     found = found.withColumn("rule_id", F.xxhash64("tokens", "verdict")).withColumn("n_tokens", F.size("tokens"))
     found = materialize(found, "itemsets")
-    # Confidence: how many rows of any verdict hold the tokens, by the inverted index; equal rows are counted once.
+    # Confidence: how many rows of any verdict hold the tokens.  The inverted index lists an itemset under
+    # its rarest token only; equal rows are counted once.
     kinds = labelled.groupBy("tokens").agg(F.count(F.lit(1)).alias("rows"))
-    index = found.select(F.explode("tokens").alias("token"), "rule_id", "n_tokens")
+    often = found.filter("n_tokens = 1").groupBy(F.col("tokens")[0].alias("token")).agg(F.sum("hits").alias("n"))
+    rarest = found.select("rule_id", "tokens", F.explode("tokens").alias("token")).join(often, "token")
+    index = rarest.groupBy("rule_id").agg(F.first("tokens").alias("wanted"), F.min_by("token", F.struct("n", "token")).alias("token"))
     met = kinds.select("tokens", "rows", F.explode("tokens").alias("token")).join(index, "token")
-    met = met.groupBy("tokens", "rows", "rule_id", "n_tokens").agg(F.count(F.lit(1)).alias("met")).filter("met = n_tokens")
+    met = met.filter(F.forall("wanted", lambda x: F.array_contains("tokens", x)))
     totals = met.groupBy("rule_id").agg(F.sum("rows").alias("all"))
     found = found.join(totals, "rule_id").select(
         "rule_id", "tokens", "n_tokens", "verdict", (F.col("hits") / F.col("all")).alias("confidence"), (F.col("hits") / F.col("rows")).alias("support")
     )
     found = materialize(found.filter(F.col("confidence") >= min_confidence), "rules")
-    # A rule meets the rules that share one of its tokens through the index, not all other rules.
-    index = found.select(F.explode("tokens").alias("token"), F.struct("rule_id", "n_tokens", "verdict", "confidence").alias("r"))
-    wider = (
-        index.alias("a")
-        .join(index.alias("b"), "token")
-        .filter("a.r.n_tokens > b.r.n_tokens AND a.r.verdict = b.r.verdict AND a.r.confidence <= b.r.confidence")
-        .groupBy(F.col("a.r.rule_id").alias("rule_id"), F.col("b.r.rule_id").alias("by"), F.col("b.r.n_tokens").alias("n"))
-        .agg(F.count(F.lit(1)).alias("shared"))
-        .filter("shared = n")
-        .select("rule_id")
-        .distinct()
-    )
+    # A rule is looked up by its own parts, of which it has few.
+
+    def some(mask: int) -> Column:
+        taken = F.lit([mask >> k & 1 for k in range(max_tokens)])
+        return F.filter("tokens", lambda x, i: F.get(taken, i) == 1)
+
+    parts = [some(mask) for mask in range(1, (1 << max_tokens) - 1)]
+    parts = found.select("rule_id", "tokens", "verdict", F.col("confidence").alias("sure"), F.explode(F.array_distinct(F.array(*parts))).alias("part"))
+    parts = parts.filter((F.size("part") > 0) & (F.size("part") < F.size("tokens"))).select("rule_id", "verdict", "sure", F.col("part").alias("tokens"))
+    wider = parts.join(found.select("tokens", "verdict", "confidence"), ["tokens", "verdict"]).filter("confidence >= sure").select("rule_id").distinct()
     return found.join(wider, "rule_id", "left_anti").select("rule_id", "tokens", "n_tokens", "verdict", "confidence", "support")
 
 
