@@ -18,6 +18,8 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,21 +31,66 @@ from tessera.storage import materialize
 END = b"\n"
 _MEMBERS = 48
 _BATCH = 2048
+_CHUNK = 1_000_000
 _COUNTER = 400_000
 _LEARNED = 50_000
+_FEW = 12
 _BLOCK = 16
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words between ASCII white space with A-Z lower-cased, in UTF-8."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
-
-
 def _text(word: bytes) -> str:
     return word.decode("utf-8", "surrogatepass")
 
 
+@dataclass
+class Tokens:
+    """The tokens of some texts in a row: places in ``words``, and every text's first place and number."""
+
+    codes: np.ndarray
+    words: list[bytes]
+    starts: np.ndarray
+    lengths: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Tokens:
+        """Words between ASCII white space in UTF-8, A-Z in lower case, and one ``END`` after each text's last."""
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string())))
+        found = lists.flatten().dictionary_encode()
+        words = found.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        codes = found.indices.to_numpy(zero_copy_only=False)
+        # White space at either end of a text splits off an empty word.
+        kept = np.array(list(map(bool, words)), dtype=bool)[codes]
+        ends = np.r_[0, np.cumsum(kept)][np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]]
+        own = np.diff(ends)
+        out = np.full(int(ends[-1]) + len(own), len(words), dtype=np.int64)
+        out[np.arange(int(ends[-1])) + np.repeat(np.arange(len(own)), own)] = codes[kept]
+        return cls(out, [*words, END], ends[:-1] + np.arange(len(own)), own + 1)
+
+    def histories(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each token the hash of the word before and of the word before that; 0 before a text."""
+        one, two = np.zeros_like(hashes), np.zeros_like(hashes)
+        one[1:], two[2:] = hashes[:-1], hashes[:-2]
+        one[self.starts] = 0
+        two[self.starts] = 0
+        two[self.starts[self.lengths > 1] + 1] = 0
+        return one, two
+
+
+def _chunks(batches: Iterator[pd.Series]) -> Iterator[Tokens]:
+    """The tokens of a batch's texts, about ``_CHUNK`` characters at once; a text stays whole."""
+    for batch in batches:
+        texts, held = [], 0
+        for text in batch:
+            texts.append(text)
+            held += len(text)
+            if held >= _CHUNK:
+                yield Tokens.of(texts)
+                texts, held = [], 0
+        if texts:
+            yield Tokens.of(texts)
+
+
 @dataclass
 class Maxent:
     """``by_class`` (buckets, classes), ``by_word`` (buckets, 48), and the biases of classes and slots.
@@ -98,9 +145,9 @@ class Maxent:
 
 
 def _summed(table: np.ndarray, buckets: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    total = np.take(table, buckets[:, 0], axis=0)
+    total = table.take(buckets[:, 0], axis=0)
     for k in range(1, buckets.shape[1]):
-        total += np.take(table, buckets[:, k], axis=0)
+        total += table.take(buckets[:, k], axis=0)
     total += bias
     return total
 
@@ -117,14 +164,17 @@ def _picked(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     return own - np.log(_sums(logits))
 
 
-def _run_sums(rows: np.ndarray, starts: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """Sums of the runs of rows; most runs are short, so these are added place by place for all runs."""
-    out = np.take(rows, starts, axis=0)
-    for place in (1, 2):
-        longer = np.flatnonzero(times > place)
-        out[longer] += rows[starts[longer] + place]
-    for k in np.flatnonzero(times > 3).tolist():
-        out[k] += rows[starts[k] + 3 : starts[k] + times[k]].sum(axis=0)
+def _run_sums(rows: np.ndarray, order: np.ndarray, starts: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Sums of the runs of rows in this order; most runs are short, so these are added place by place for all runs."""
+    out = rows.take(order[starts], axis=0)
+    longer = np.flatnonzero(times > 1)
+    place = 1
+    while len(longer) > _FEW:
+        out[longer] += rows.take(order[starts[longer] + place], axis=0)
+        place += 1
+        longer = longer[times[longer] > place]
+    for k in longer.tolist():
+        out[k] += np.add.reduce(rows.take(order[starts[k] + place : starts[k] + times[k]], axis=0))
     return out
 
 
@@ -142,20 +192,13 @@ def _step(
         own = own[order]
         starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
         times = np.diff(np.r_[starts, len(own)])
-        sums = _run_sums(np.take(p, order, axis=0), starts, times)
+        sums = _run_sums(p, order, starts, times)
         rows = own[starts]
         squares[rows] += np.einsum("ij,ij->i", sums, sums)
         counts[rows] += times
-        sums *= (rate / np.sqrt(squares[rows]))[:, None]
-        table[rows] -= sums
-
-
-def _histories(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """For all tokens of some texts in a row the hash of the word before and of the word before that."""
-    start = np.zeros(2, dtype=np.uint64)
-    one = [np.concatenate([start[:1], h[:-1]]) for h in hashes]
-    two = [np.concatenate([start, h[:-2]])[: len(h)] for h in hashes]
-    return np.concatenate(one), np.concatenate(two)
+        sums *= (-rate / np.sqrt(squares[rows]))[:, None]
+        sums += table.take(rows, axis=0)
+        table[rows] = sums
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -170,13 +213,12 @@ def count_words(texts: DataFrame) -> DataFrame:
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
-        for batch in batches:
-            for text in batch["text"]:
-                seen.update(words_of(text))
-                seen[END] += 1
-                if len(seen) >= _COUNTER:
-                    yield part(seen)
-                    seen.clear()
+        for tokens in _chunks(batch["text"] for batch in batches):
+            times = np.bincount(tokens.codes, minlength=len(tokens.words)).tolist()
+            seen.update({w: n for w, n in zip(tokens.words, times, strict=True) if n})
+            if len(seen) >= _COUNTER:
+                yield part(seen)
+                seen.clear()
         yield part(seen)
 
     return texts.select("text").mapInPandas(counted, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
@@ -213,15 +255,15 @@ class _Ranks(dict):
     def __missing__(self, word: bytes) -> int:
         return self.other
 
-    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ranks and hashes of some words, and where the words are that have no rank."""
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks and hashes of some words."""
         ranks = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
         rare = np.flatnonzero(ranks == self.other)
         hashes = np.empty(len(words), dtype=np.uint64)
         known = ranks < self.other
         hashes[known] = self.hashes[ranks[known]]
         hashes[rare] = [_hash(words[i]) for i in rare.tolist()]
-        return ranks, hashes, rare
+        return ranks, hashes
 
 
 def _hash(word: bytes) -> int:
@@ -251,24 +293,10 @@ def _mixing_round(texts: DataFrame, shared, rate: float) -> list:
         ranks = _Ranks(words)
         model = replace(start_model, by_class=start_model.by_class.copy(), by_word=start_model.by_word.copy())
         steps = tuple((np.full(len(t), 1e-2, dtype=np.float32), np.zeros(len(t), dtype=np.float32)) for t in model.tables)
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []
-        held = 0
-
-        def flush() -> None:
-            slots = np.concatenate([s for s, _ in waiting])
-            model.learn(slots, *_histories([h for _, h in waiting]), steps, rate)
-            waiting.clear()
-
-        for batch in batches:
-            for text in batch["text"]:
-                r, h, _ = ranks([*words_of(text), END])
-                waiting.append((model.slots(r, h), h))
-                held += len(r)
-                if held >= 16 * _BATCH:
-                    flush()
-                    held = 0
-        if waiting:
-            flush()
+        for tokens in _chunks(batch["text"] for batch in batches):
+            r, h = ranks(tokens.words)
+            one, two = tokens.histories(h[tokens.codes])
+            model.learn(model.slots(r, h)[tokens.codes], one, two, steps, rate)
         rows = []
         for t, (new, old, (_, seen)) in enumerate(zip(model.tables, start_model.tables, steps, strict=True)):
             change = (new - old).astype(np.float16)
@@ -375,41 +403,28 @@ def score(
         by_rank, by_slot = logs.value
         ranks = _Ranks(frequent_words)
         for texts in batches:
-            out = []
-            waiting: list[tuple] = []
-            held = 0
-
-            def flush() -> None:
-                if not waiting:
-                    return
-                r, h, slots = (np.concatenate([w[k] for w in waiting]) for k in range(3))
-                inner = lm.log_probability(slots, *_histories([w[1] for w in waiting])) / np.log(10)
-                lengths = np.array([len(w[0]) for w in waiting])
-                begins = np.r_[0, np.cumsum(lengths)[:-1]]
-                log_c = by_rank[r]
-                outside = np.where(r >= lm.vocabulary, log_c - by_slot[slots], 0.0)
-                columns = zip(
-                    lengths,
-                    np.add.reduceat((r < ranks.other).astype(np.int64), begins),
-                    np.add.reduceat(log_c, begins),
-                    np.add.reduceat(inner, begins),
-                    np.add.reduceat(outside, begins),
-                    [w[3] for w in waiting],
-                    strict=True,
-                )
-                out.extend(columns)
-                waiting.clear()
-
-            for text in texts:
-                found = [*words_of(text), END]
-                r, h, others = ranks(found)
-                waiting.append((r, h, lm.slots(r, h), [_text(found[i]) for i in others.tolist()]))
-                held += len(r)
-                if held >= 16 * _BATCH:
-                    flush()
-                    held = 0
-            flush()
-            yield pd.DataFrame(out, columns=["n_tokens", "known", "base", "inner", "outer", "rare"])
+            done = [scores(t, ranks, lm, by_rank, by_slot) for t in _chunks([texts])]
+            yield pd.concat(done, ignore_index=True)
+
+    def scores(tokens: Tokens, ranks: _Ranks, lm: Maxent, by_rank: np.ndarray, by_slot: np.ndarray) -> pd.DataFrame:
+        r, h = ranks(tokens.words)
+        slots = lm.slots(r, h)
+        outside = np.where(r >= lm.vocabulary, by_rank[r] - by_slot[slots], 0.0)
+        inner = lm.log_probability(slots[tokens.codes], *tokens.histories(h[tokens.codes])) / np.log(10)
+        codes, starts = tokens.codes, tokens.starts
+        unranked = np.flatnonzero((r == ranks.other)[codes])
+        strings = [_text(tokens.words[k]) for k in codes[unranked].tolist()]
+        at = [*np.searchsorted(unranked, starts).tolist(), len(strings)]
+        return pd.DataFrame(
+            {
+                "n_tokens": tokens.lengths,
+                "known": np.add.reduceat((r < ranks.other)[codes].astype(np.int64), starts),
+                "base": np.add.reduceat(by_rank[r][codes], starts),
+                "inner": np.add.reduceat(inner, starts),
+                "outer": np.add.reduceat(outside[codes], starts),
+                "rare": [strings[a:b] for a, b in zip(at[:-1], at[1:], strict=True)],
+            }
+        )
 
     scored = rows.select("doc_id", "held_out", parts("text").alias("p"))
     scored = materialize(scored.select("doc_id", "held_out", "p.*", F.monotonically_increasing_id().alias("row")), "scored")

@@ -215,6 +215,18 @@ def test_lm_base_score_and_gain(docs, texts):
     assert sum(r["score"] for r in got if r["held_out"]) > sum(r["base_score"] for r in got if r["held_out"])
 
 
+def test_lm_tokens_are_those_of_single_texts():
+    texts = ["", " ", "a", "  A\x1cb \n\t c\x0b\x0c\rÄİ ", "x y z\x85q", "\n", "END \n\n", "b a b"]
+    got = maxent_lm.Tokens.of(texts)
+    expected = [[*t.encode().lower().split(), maxent_lm.END] for t in texts]
+    assert [[got.words[c] for c in got.codes[s : s + n]] for s, n in zip(got.starts, got.lengths, strict=True)] == expected
+    hashes = np.arange(1, len(got.codes) + 1).astype(np.uint64)
+    one, two = got.histories(hashes)
+    for s, n in zip(got.starts, got.lengths, strict=True):
+        own = hashes[s : s + n].tolist()
+        assert one[s : s + n].tolist() == [0, *own][:n] and two[s : s + n].tolist() == [0, 0, *own][:n]
+
+
 def test_lm_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
     model = maxent_lm._unigram(rng.random(48 * 5) + 0.1, 100, 96, 32)
