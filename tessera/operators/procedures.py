@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.graph import PropertyGraph
 from tessera.operators import algorithms, fulltext
@@ -13,6 +14,28 @@ from tessera.operators import algorithms, fulltext
 _BUILT_IN = set("id labels type properties keys startnode endnode nodes relationships length size head last tail reverse range coalesce exists tointeger tofloat tostring toboolean tobooleanornull abs ceil floor round sqrt sign rand toupper tolower trim ltrim rtrim substring replace split left right count sum avg min max collect percentilecont percentiledisc stdev stdevp".split())
 
 
+def _typed(name: str, procedure: Callable[..., DataFrame], inputs: Sequence[tuple[str, type]] | None, outputs: str | None) -> Callable[..., DataFrame]:
+    """``procedure`` with its arguments and the columns of its rows checked at a call."""
+
+    def run(*arguments) -> DataFrame:
+        if inputs is not None:
+            if len(arguments) != len(inputs):
+                raise TypeError(f"{name} takes {len(inputs)} arguments, not {len(arguments)}")
+            for value, (argument, kind) in zip(arguments, inputs, strict=True):
+                # An integer passes for a number; a truth value doesn't.
+                kinds = (int, float) if kind is float else (kind,)
+                if value is not None and (not isinstance(value, kinds) or (isinstance(value, bool) and kind is not bool)):
+                    raise TypeError(f"{name}: {argument} has to be {kind.__name__}")
+        rows = procedure(*arguments)
+        if outputs is not None:
+            wanted = [(f.name, f.dataType) for f in StructType.fromDDL(outputs).fields]
+            if [(f.name, f.dataType) for f in rows.schema.fields] != wanted:
+                raise TypeError(f"{name} gave {rows.schema.simpleString()}, not {outputs}")
+        return rows
+
+    return run
+
+
 class Procedures:
     """``call(name, ...)`` gives a DataFrame; further procedures and functions can be registered."""
 
@@ -21,18 +44,41 @@ class Procedures:
         self.catalog = algorithms.Catalog()
         self._own: dict[str, Callable[..., DataFrame]] = {}
         self.functions: dict[str, Callable[..., Column]] = {}
+        self.aggregates: set[str] = set()
         self._indexes: dict[str, tuple[str, str]] = {}
 
-    def register(self, name: str, procedure: Callable[..., DataFrame]) -> None:
+    def register(
+        self, name: str, procedure: Callable[..., DataFrame],
+        inputs: Sequence[tuple[str, type]] | None = None, outputs: str | None = None,
+    ) -> None:
+        """``inputs`` names the arguments with their Python types (None passes as any of them), and
+        ``outputs`` is the schema of the rows, such as "id long, score double"; a call checks both."""
         if name in self._table() or name in self._own:
             raise ValueError(f"procedure {name} exists")
-        self._own[name] = procedure
+        self._own[name] = procedure if inputs is None and outputs is None else _typed(name, procedure, inputs, outputs)
 
-    def register_function(self, name: str, function: Callable[..., Column]) -> None:
-        """A scalar or aggregate function of columns; built-in names are refused."""
+    def register_function(self, name: str, function: Callable[..., Column], arity: int | None = None, aggregate: bool = False) -> None:
+        """A scalar or aggregate function of columns; built-in names are refused.
+
+        With ``arity`` a call with another number of arguments is an error.  An ``aggregate`` gives
+        an aggregate column, from built-in aggregates or a grouped pandas UDF, for use in ``agg``.
+        """
         if name.lower() in _BUILT_IN:
             raise ValueError(f"{name} is built in")
-        self.functions[name.lower()] = function
+
+        def checked(*arguments: Column) -> Column:
+            if arity is not None and len(arguments) != arity:
+                raise TypeError(f"{name} takes {arity} arguments, not {len(arguments)}")
+            return function(*arguments)
+
+        self.functions[name.lower()] = checked
+        (self.aggregates.add if aggregate else self.aggregates.discard)(name.lower())
+
+    def function(self, name: str, *arguments: Column) -> Column:
+        """A registered function of some columns."""
+        if name.lower() not in self.functions:
+            raise KeyError(f"no function {name}")
+        return self.functions[name.lower()](*arguments)
 
     def fulltext_index(self, name: str, label: str, text: str) -> None:
         self._indexes[name] = (label, text)

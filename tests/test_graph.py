@@ -151,6 +151,22 @@ def test_procedures(chain, spark):
     assert p.call("own.ids").count() == 4 and "own.ids" in p.names()
     with pytest.raises(ValueError):
         p.register_function("toUpper", F.upper)
+    p.register("own.upto", lambda n: spark.range(n).toDF("id"), [("n", int)], "id long")
+    assert p.call("own.upto", 3).count() == 3
+    for wrong in ((), (1, 2), ("3",), (True,)):
+        with pytest.raises(TypeError):
+            p.call("own.upto", *wrong)
+    p.register("own.mistyped", lambda: spark.range(1), [], "id string")
+    with pytest.raises(TypeError):
+        p.call("own.mistyped")
+    p.register_function("twice", lambda x: 2 * x, arity=1)
+    p.register_function("spread", lambda x: F.max(x) - F.min(x), arity=1, aggregate=True)
+    got = spark.range(5).agg(p.function("SPREAD", p.function("twice", F.col("id"))).alias("s")).first()["s"]
+    assert got == 8 and p.aggregates == {"spread"}
+    with pytest.raises(TypeError):
+        p.function("twice", F.lit(1), F.lit(2))
+    with pytest.raises(KeyError):
+        p.function("thrice", F.lit(1))
     table = spark.createDataFrame([(None, "none"), (1, "one")], "k long, v string")
     rows = spark.createDataFrame([(None,), (1,), (2,)], "x long")
     assert {(r["x"], r["v"]) for r in lookup(rows, table, {"k": F.col("x")}).collect()} == {(None, "none"), (1, "one")}
