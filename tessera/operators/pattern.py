@@ -209,50 +209,65 @@ def shortest_paths(
 ) -> DataFrame:
     """``(source, target, length, nodes, rels)``: a shortest path, or all, for each distinct pair.
 
-    ``pairs`` has ``source`` and ``target``.  Level by level the frontier of each source grows by one
-    join, visited nodes are dropped by an anti-join, and every node keeps its steps from the level
-    before; paths are then joined together backwards from the targets.  Without ``every`` the path
+    ``pairs`` has ``source`` and ``target``.  The search starts from the side with fewer distinct ends,
+    here its roots, and looks for the other ends, its goals.  Level by level the frontier of each root
+    grows by one join, visited nodes are dropped by an anti-join, and every node keeps its steps from the
+    level before; paths are then joined together from the goals back to the roots.  On the last level
+    that ``high`` allows only the steps onto goals still open are made.  Without ``every`` the path
     with the smallest list of relationship ids is kept.  No path, one longer than ``high``, or a
     shortest one shorter than ``low`` gives no row; so does a null end.  Parallel relationships
     make different paths.
     """
-    step = graph.hops([types] if isinstance(types, str) else list(types), direction).select("rid", "start", "stop")
     pairs = pairs.select("source", "target").filter("source IS NOT NULL AND target IS NOT NULL").distinct()
     pairs = materialize(pairs, "pairs")
-    level = materialize(pairs.select("source", F.col("source").alias("node")).distinct(), "level")
-    seen, steps, depth, met = level, [], 0, None
-    kind = "source long, target long, length int, nodes array<long>, rels array<long>"
+    ends = pairs.agg(F.approx_count_distinct("source").alias("s"), F.approx_count_distinct("target").alias("t")).first()
+    forward = ends["s"] <= ends["t"]
+    root, goal = ("source", "target") if forward else ("target", "source")
+    start, stop = ("start", "stop") if forward else ("stop", "start")
+    step = graph.hops([types] if isinstance(types, str) else list(types), direction)
+    step = step.select("rid", F.col(start).alias("near"), F.col(stop).alias("far"))
     trivial = pairs.filter("source = target").select(
         "source", "target", F.lit(0).alias("length"), F.array("source").alias("nodes"), F.array().cast("array<long>").alias("rels")
     )
-    out = trivial if low == 0 else graph.spark.createDataFrame([], kind)
-    open_pairs = pairs.filter("source <> target")
+    out = trivial if low == 0 else None
+    open_pairs = pairs.filter("source <> target").select(F.col(root).alias("root"), F.col(goal).alias("goal"))
+    level = materialize(open_pairs.select("root", F.col("root").alias("node")).distinct(), "level")
+    seen, steps, depth = level, [], 0
     while (high is None or depth < high) and not open_pairs.isEmpty():
         depth += 1
-        taken = level.join(step, F.col("node") == F.col("start")).select("source", "rid", "start", "stop")
-        taken = taken.join(seen.withColumnRenamed("node", "stop"), ["source", "stop"], "left_anti")
-        taken = materialize(taken, "steps")
-        level = materialize(taken.select("source", F.col("stop").alias("node")).distinct(), "level")
-        if level.isEmpty():
-            break
+        taken = level.join(step, F.col("node") == F.col("near")).select("root", "rid", "near", "far")
+        if depth == high:
+            # A goal that is open has not been seen, so that its join drops what has.
+            met = open_pairs
+        else:
+            taken = taken.join(seen.withColumnRenamed("node", "far"), ["root", "far"], "left_anti")
+            taken = materialize(taken, "steps")
+            level = materialize(taken.select("root", F.col("far").alias("node")).distinct(), "level")
+            if level.isEmpty():
+                break
+            seen = seen.unionByName(level)
+            met = materialize(open_pairs.join(level.withColumnRenamed("node", "goal"), ["root", "goal"], "left_semi"), "met")
         steps.append(taken)
-        seen = seen.unionByName(level)
-        met = open_pairs.join(level.withColumnRenamed("node", "target"), ["source", "target"], "left_semi")
-        if depth >= low:
-            paths = met.select("source", "target", F.array("target").alias("nodes"), F.array().cast("array<long>").alias("rels"))
-            for back in reversed(steps):
-                paths = (
-                    paths.withColumn("stop", F.col("nodes")[0])
-                    .join(back, ["source", "stop"])
-                    .select(
-                        "source", "target", F.concat(F.array("start"), "nodes").alias("nodes"), F.concat(F.array("rid"), "rels").alias("rels")
-                    )
-                )
-                if not every:
-                    # Among the ways from one node on, the smallest list of relationships stays.
-                    paths = paths.groupBy("source", "target", F.col("nodes")[0].alias("at")).agg(
-                        F.min_by(F.struct("nodes", "rels"), "rels").alias("p")
-                    ).select("source", "target", "p.nodes", "p.rels")
-            out = out.unionByName(paths.select("source", "target", F.lit(depth).alias("length"), "nodes", "rels"))
-        open_pairs = materialize(open_pairs.join(met, ["source", "target"], "left_anti"), "open-pairs")
-    return out
+        if depth != high:
+            if met.isEmpty():
+                continue
+            open_pairs = materialize(open_pairs.join(met, ["root", "goal"], "left_anti"), "open-pairs")
+        if depth < low:
+            continue
+        # ``at`` stands beside the lists, so that a caller who needs no lists carries none.
+        none = F.array().cast("array<long>")
+        paths = met.select("root", "goal", F.col("goal").alias("at"), F.array("goal").alias("nodes"), none.alias("rels"))
+        for back in reversed(steps):
+            one, rid = F.array("near"), F.array("rid")
+            paths = paths.join(back.withColumnRenamed("far", "at"), ["root", "at"]).select(
+                "root", "goal", F.col("near").alias("at"), (F.concat(one, "nodes") if forward else F.concat("nodes", one)).alias("nodes"),
+                (F.concat(rid, "rels") if forward else F.concat("rels", rid)).alias("rels"),
+            )
+            if not every:
+                # Among the ways between a goal and one node, the smallest list of relationships stays.
+                paths = paths.groupBy("root", "goal", "at").agg(F.min_by(F.struct("nodes", "rels"), "rels").alias("p"))
+                paths = paths.select("root", "goal", "at", "p.nodes", "p.rels")
+        found = paths.select(F.col("root").alias(root), F.col("goal").alias(goal), F.lit(depth).alias("length"), "nodes", "rels")
+        found = found.select("source", "target", "length", "nodes", "rels")
+        out = found if out is None else out.unionByName(found)
+    return trivial.limit(0) if out is None else out

@@ -71,6 +71,30 @@ def test_shortest_paths(chain, spark):
     assert shortest_paths(chain, pairs, "R", high=1).count() == 0
 
 
+def test_shortest_paths_from_the_smaller_side(spark, monkeypatch):
+    """Forty leaves of a hub to one far end: the search goes from that end and never from leaf to leaf."""
+    from tessera.operators import pattern
+
+    leaves = range(100, 140)
+    rels = [(1000 + i, i, 1) for i in leaves] + [(1, 1, 2), (2, 2, 3), (3, 2, 3)]
+    g = PropertyGraph(spark, {"N": spark.range(200)}, {"R": spark.createDataFrame(rels, "rid long, src long, dst long")})
+    written = {}
+
+    def counting(df, tag):
+        stored = materialize(df, tag)
+        written[tag] = written.get(tag, 0) + stored.count()
+        return stored
+
+    materialize = pattern.materialize
+    monkeypatch.setattr(pattern, "materialize", counting)
+    pairs = spark.createDataFrame([(i, 3) for i in leaves], "source long, target long")
+    one = shortest_paths(g, pairs, "R", "both").collect()
+    assert sorted((r["source"], r["length"], r["nodes"], r["rels"]) for r in one) == [(i, 3, [i, 1, 2, 3], [1000 + i, 1, 2]) for i in leaves]
+    assert written["steps"] < 100
+    every = shortest_paths(g, pairs, "R", "both", every=True).collect()
+    assert sorted(r["rels"] for r in every) == sorted([1000 + i, 1, k] for i in leaves for k in (2, 3))
+
+
 def test_optional_and_lists(chain):
     inner = match(chain, "n", "N", []).hop("n", "r", "m", "R")
     assert match(chain, "n", "N").optional(inner).rows.filter("m__id IS NULL").count() == 1
