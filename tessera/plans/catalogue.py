@@ -230,7 +230,8 @@ def all_shortest_paths(g):
     bought = match(g, "c", "Customer", []).hop("c", "x", "o", "PLACED").hop("o", "y", "p", "CONTAINS").rows
     pairs = bought.select(F.col("c__id").alias("source"), F.col("p__id").alias("target"))
     found = shortest_paths(g, pairs, ["PLACED", "CONTAINS"], "out", high=2, every=True)
-    return found.groupBy((F.col("source") % SPACE).alias("source"), (F.col("target") % SPACE).alias("target"), "length").agg(agg.count().alias("paths"))
+    counts = found.groupBy("source", "target", "length").agg(agg.count().alias("paths"))
+    return counts.select((F.col("source") % SPACE).alias("source"), (F.col("target") % SPACE).alias("target"), "length", "paths")
 
 
 # Projection, order, sets

@@ -95,6 +95,13 @@ def test_shortest_paths_from_the_smaller_side(spark, monkeypatch):
     assert sorted(r["rels"] for r in every) == sorted([1000 + i, 1, k] for i in leaves for k in (2, 3))
 
 
+def test_counting_shortest_paths_carries_no_lists(chain, spark):
+    found = shortest_paths(chain, spark.createDataFrame([(1, 3)], "source long, target long"), "R", high=2, every=True)
+    counts = found.groupBy("source", "target", "length").count()
+    assert [tuple(r) for r in counts.collect()] == [(1, 3, 2, 2)]
+    assert "concat(" not in counts._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_optional_and_lists(chain):
     inner = match(chain, "n", "N", []).hop("n", "r", "m", "R")
     assert match(chain, "n", "N").optional(inner).rows.filter("m__id IS NULL").count() == 1
