@@ -111,6 +111,12 @@ class PropertyGraph:
             raise ValueError(f"direction {direction!r} is not out, in or both")
         return along.unionByName(against.filter("src <> dst"))
 
+    def reaches(self, types: Iterable[str], direction: str = "out") -> frozenset:
+        """Labels that ``links`` names at the far end of a step; none where it says nothing."""
+        ends = {"out": (1,), "in": (0,), "both": (0, 1)}[direction]
+        known = [self.links[kind] for kind in types or self.rels if kind in self.links]
+        return frozenset().union(*(pair[end] for pair in known for end in ends))
+
     def labels(self) -> DataFrame:
         """Labels that some node has."""
         return self._in_use("label", self.nodes)

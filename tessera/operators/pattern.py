@@ -50,12 +50,15 @@ class Match:
         if bound:
             rows = self.rows.join(step, on & (prop(stop, "id") == F.col(f"{rel}__stop")))
         else:
-            rows = self.rows.join(step, on)
             if label is None and properties is None:
-                rows = rows.withColumn(f"{stop}__id", F.col(f"{rel}__stop"))
+                rows = self.rows.join(step, on).withColumn(f"{stop}__id", F.col(f"{rel}__stop"))
             else:
-                nodes = bind(_nodes(self.graph, label, properties), stop)
-                rows = rows.join(nodes, F.col(f"{rel}__stop") == prop(stop, "id"))
+                nodes, there = bind(_nodes(self.graph, label, properties), stop), F.col(f"{rel}__stop") == prop(stop, "id")
+                if label is not None and self.graph.reaches(types, direction) - {label}:
+                    # The label leaves part of the steps, and fewer steps meet at a shared start.
+                    rows = self.rows.join(step.join(nodes, there), on)
+                else:
+                    rows = self.rows.join(step, on).join(nodes, there)
         for other, kinds in self.rels:
             if not types or not kinds or types & kinds:
                 rows = rows.filter(F.col(f"{rel}__rid") != F.col(f"{other}__rid"))
@@ -98,15 +101,47 @@ class Match:
         keys = [c for c in shared if c.endswith(("__id", "__rid"))]
         right = other.rows.drop(*(c for c in shared if c not in keys))
         rows = self.rows.join(right, keys) if keys else self.rows.crossJoin(right)
+        return self._apart(other, rows)
+
+    def _keys(self, inner: Match) -> list[str]:
+        return [c for c in self.rows.columns if c in inner.rows.columns and c.endswith(("__id", "__rid"))]
+
+    def part_less(self, other: Match, low: Column, high: Column, bins: int = 64) -> Match:
+        """As ``part`` on shared variables, where ``low`` of these rows is less than ``high`` of the other's.
+
+        The other's rows are cut into ranges of ``high``; a row meets only the ranges that can hold a
+        larger value, so that hardly any pair is made in vain, and the work spreads over ranges even
+        where few values are shared.  Only the limits of the ranges reach the driver.
+        """
+        keys = self._keys(other)
+        right = other.rows.drop(*(c for c in other.rows.columns if c in self.rows.columns and c not in keys)).withColumn("__high", high)
+        left = self.rows.withColumn("__low", low)
+        right, left = right.filter("__high IS NOT NULL"), left.filter("__low IS NOT NULL")
+        shares = [k / bins for k in range(1, bins)]
+        limits = right.agg(F.percentile_approx("__high", shares, 10_000).alias("limits")).first()["limits"]
+        limits = sorted({x for x in limits or [] if x == x})
+
+        def place(value: str) -> Column:
+            """Number of limits up to a value, which never falls as the value grows."""
+            known = F.array(*map(F.lit, limits)) if limits else F.array().cast("array<double>")
+            return F.size(F.filter(known, lambda x: x <= F.col(value)))
+
+        left = left.withColumn("__bin", F.explode(F.sequence(place("__low"), F.lit(len(limits)))))
+        right = right.withColumn("__bin", place("__high"))
+        # A number of its own keeps small but fruitful partitions apart.
+        parts = max(2 * bins, int(self.graph.spark.conf.get("spark.sql.shuffle.partitions")))
+        left, right = (side.repartition(parts, *keys, "__bin") for side in (left, right))
+        rows = left.join(right, [*keys, "__bin"]).filter("__low < __high").drop("__low", "__high", "__bin")
+        return self._apart(other, rows)
+
+    def _apart(self, other: Match, rows: DataFrame) -> Match:
+        """Rows of this match and another in which no relationship is bound twice."""
         for a, kinds in self.rels:
             for b, others in other.rels:
                 if a != b and (not kinds or not others or kinds & others):
                     rows = rows.filter(F.col(f"{a}__rid") != F.col(f"{b}__rid"))
         return replace(self, rows=rows, rels=(*self.rels, *other.rels))
 
-    def _keys(self, inner: Match) -> list[str]:
-        return [c for c in self.rows.columns if c in inner.rows.columns and c.endswith(("__id", "__rid"))]
-
     def optional(self, inner: Match) -> Match:
         """OPTIONAL MATCH: rows of ``inner`` on the shared variables, or nulls where there are none.
 

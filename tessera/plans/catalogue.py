@@ -179,8 +179,9 @@ def shared_variable_parts(g):
 
 @query("SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_acctbal + 4000 < s_acctbal")
 def theta_predicate(g):
-    m = match(g, "c", "Customer").hop("c", "x", "n", "IN_NATION").hop("n", "y", "s", "IN_NATION", "in", "Supplier")
-    m = m.where(prop("c", "c_acctbal") + 4000 < prop("s", "s_acctbal"))
+    m = match(g, "c", "Customer", ["c_custkey", "c_acctbal"]).hop("c", "x", "n", "IN_NATION")
+    sellers = match(g, "s", "Supplier", ["s_suppkey", "s_acctbal"]).hop("s", "y", "n", "IN_NATION")
+    m = m.part_less(sellers, prop("c", "c_acctbal") + 4000, prop("s", "s_acctbal"))
     return m.rows.select(prop("c", "c_custkey").alias("c_custkey"), prop("s", "s_suppkey").alias("s_suppkey"))
 
 

@@ -102,6 +102,23 @@ def test_counting_shortest_paths_carries_no_lists(chain, spark):
     assert "concat(" not in counts._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_part_less_pairs_as_brute_force_does(spark):
+    nan = float("nan")
+    low = [(i, i % 3, v) for i, v in enumerate([0.5, 1.0, 1.0, -2.0, nan, None, 9.0, 3.0, 0.0, 2.0])]
+    high = [(100 + i, i % 3, v) for i, v in enumerate([1.0, 1.0, 1.0, 2.5, nan, None, -3.0, 9.0, 9.5, 0.0, 1.0])]
+    nodes = spark.createDataFrame(low + high, "id long, hub long, v double")
+    rels = nodes.selectExpr("id AS rid", "id AS src", "1000 + hub AS dst")
+    g = PropertyGraph(spark, {"N": nodes.filter("id < 100"), "M": nodes.filter("id >= 100")}, {"R": rels}, {"R": (frozenset("NM"), frozenset("H"))})
+    a, b = match(g, "a", "N", ["v"]).hop("a", "x", "h", "R"), match(g, "b", "M", ["v"]).hop("b", "y", "h", "R")
+    want = sorted((r["a__id"], r["b__id"]) for r in a.part(b).where(prop("a", "v") < prop("b", "v")).rows.collect())
+    for bins in (1, 4, 64):
+        rows = a.part_less(b, prop("a", "v"), prop("b", "v"), bins).rows
+        assert sorted((r["a__id"], r["b__id"]) for r in rows.collect()) == want and want
+    # A label that not all steps reach is joined before the steps meet the rows.
+    plan = a.hop("h", "y", "b", "R", "in", "M").rows._jdf.queryExecution().analyzed().toString()
+    assert plan.index("Join Inner, (h__id") < plan.index("Join Inner, (y__stop")
+
+
 def test_optional_and_lists(chain):
     inner = match(chain, "n", "N", []).hop("n", "r", "m", "R")
     assert match(chain, "n", "N").optional(inner).rows.filter("m__id IS NULL").count() == 1
