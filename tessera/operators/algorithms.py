@@ -23,9 +23,12 @@ _UNSETTLED = "{} did not settle in {} rounds"
 
 @dataclass(frozen=True)
 class Projection:
+    """``once`` holds each edge of an undirected projection in one direction only."""
+
     nodes: DataFrame
     edges: DataFrame
     directed: bool
+    once: DataFrame | None = None
 
 
 class Catalog:
@@ -70,16 +73,20 @@ class Catalog:
         return {"graphName": name, "nodeCount": gone.nodes.count(), "relationshipCount": gone.edges.count()}
 
 
-def project_edges(nodes: DataFrame, edges: DataFrame, directed: bool = False) -> Projection:
+def project_edges(nodes: DataFrame, edges: DataFrame, directed: bool = False, stored: bool = True) -> Projection:
+    """A projection; one that is not ``stored`` reads its edges anew each time, for edges that a scan gives."""
     edges = edges.select("src", "dst", "weight")
-    if not directed:
-        edges = edges.unionByName(edges.filter("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    return Projection(nodes.select("id"), materialize(edges, "projected-edges"), directed)
+    edges = materialize(edges, "projected-edges") if stored else edges
+    if directed:
+        return Projection(nodes.select("id"), edges, True)
+    both = edges.unionByName(edges.filter("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    return Projection(nodes.select("id"), both, False, edges)
 
 
 def _simple(p: Projection) -> DataFrame:
     """Each undirected pair of different nodes once, as ``(a, b)`` with a < b."""
-    return p.edges.filter("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    edges = p.edges if p.once is None else p.once
+    return edges.filter("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
 
 
 def _neighbours(p: Projection) -> DataFrame:
@@ -176,32 +183,49 @@ def scc(p: Projection, max_rounds: int = 1000) -> DataFrame:
     return found.select(F.col("id").alias("nodeId"), F.col("mark").alias("componentId"))
 
 
-def triangles(p: Projection) -> DataFrame:
-    """``(nodeId, triangleCount)`` on the simple undirected graph.
+def _corners(p: Projection) -> tuple[DataFrame, DataFrame]:
+    """``(id, d)``, the neighbours of each node that has any, and ``(id, n)``, the triangles of each that has any.
 
-    Edges are directed from the end with the smaller degree, which bounds the pairs of a hub.
+    Edges are directed from the end with the smaller degree, which bounds the lists of a hub.  A
+    triangle u, a, b with arcs u-a, u-b and a-b is found where the list of u meets that of a; only nodes
+    a with arcs both in and out can be in the middle, and only they are sent lists.
     """
-    pairs = _simple(p)
-    sizes = _neighbours(p).groupBy("src").agg(F.count(F.lit(1)).alias("d"))
-    ranked = pairs.join(sizes.select(F.col("src").alias("a"), F.col("d").alias("da")), "a").join(
-        sizes.select(F.col("src").alias("b"), F.col("d").alias("db")), "b"
+    pairs = materialize(_simple(p), "pairs")
+    sizes = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("d")), "sizes")
+    ranked = pairs.join(sizes.select(F.col("id").alias("a"), F.col("d").alias("da")), "a").join(
+        sizes.select(F.col("id").alias("b"), F.col("d").alias("db")), "b"
     )
     forward = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
     arcs = ranked.select(F.when(forward, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(forward, F.col("b")).otherwise(F.col("a")).alias("v"))
     arcs = materialize(arcs, "forward")
-    wedges = arcs.alias("x").join(arcs.alias("y"), (F.col("x.u") == F.col("y.u")) & (F.col("x.v") < F.col("y.v")))
-    wedges = wedges.select(F.col("x.u").alias("u"), F.col("x.v").alias("a"), F.col("y.v").alias("b"))
-    closed = wedges.join(pairs, ["a", "b"])
-    counts = closed.select(F.explode(F.array("u", "a", "b")).alias("nodeId")).groupBy("nodeId").agg(F.count(F.lit(1)).alias("triangleCount"))
+    middle = arcs.select("u").distinct().join(arcs.select(F.col("v").alias("u")).distinct(), "u", "left_semi")
+    middle = materialize(middle, "middle")
+    inner = arcs.join(middle.withColumnRenamed("u", "v"), "v", "left_semi")
+    lists = arcs.groupBy("u").agg(F.collect_list("v").alias("ahead"))
+    # A list of one node has no second corner.
+    sent = inner.join(lists.filter(F.size("ahead") > 1), "u").select("u", F.col("v").alias("a"), "ahead")
+    beyond = arcs.join(middle, "u", "left_semi").groupBy(F.col("u").alias("a")).agg(F.collect_list("v").alias("beyond"))
+    met = sent.join(beyond, "a").select("u", "a", F.array_intersect("ahead", "beyond").alias("third")).filter(F.size("third") > 0)
+    many, one = F.size("third").cast("long"), F.lit(1).cast("long")
+    corner = lambda c, n: F.struct(c.alias("id"), n.alias("n"))
+    corners = F.concat(F.array(corner(F.col("u"), many), corner(F.col("a"), many)), F.transform("third", lambda b: corner(b, one)))
+    counts = met.select(F.explode(corners).alias("c")).groupBy("c.id").agg(F.sum("c.n").alias("n"))
+    return sizes, counts
+
+
+def triangles(p: Projection) -> DataFrame:
+    """``(nodeId, triangleCount)`` on the simple undirected graph."""
+    _, counts = _corners(p)
+    counts = counts.select(F.col("id").alias("nodeId"), F.col("n").alias("triangleCount"))
     return p.nodes.withColumnRenamed("id", "nodeId").join(counts, "nodeId", "left").fillna(0, ["triangleCount"])
 
 
 def clustering(p: Projection) -> DataFrame:
     """``(nodeId, coefficient)``: triangles over pairs of neighbours; 0 below two neighbours."""
-    sizes = _neighbours(p).groupBy(F.col("src").alias("nodeId")).agg(F.count(F.lit(1)).alias("d"))
-    both = triangles(p).join(sizes, "nodeId", "left")
-    share = F.when(F.col("d") >= 2, F.col("triangleCount") / (F.col("d") * (F.col("d") - 1) / 2)).otherwise(F.lit(0.0))
-    return both.select("nodeId", share.cast("double").alias("coefficient"))
+    sizes, counts = _corners(p)
+    both = p.nodes.join(counts, "id", "left").join(sizes, "id", "left")
+    share = F.when(F.col("d") >= 2, F.coalesce("n", F.lit(0)) / (F.col("d") * (F.col("d") - 1) / 2)).otherwise(F.lit(0.0))
+    return both.select(F.col("id").alias("nodeId"), share.cast("double").alias("coefficient"))
 
 
 def _relax(edges: DataFrame, start: DataFrame, rounds: int) -> tuple[DataFrame, bool]:

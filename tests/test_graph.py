@@ -150,6 +150,23 @@ def test_degree_triangles_and_clustering(spark):
     assert values(alg.clustering(multi)) == {0: 1.0, 1: 1.0, 2: pytest.approx(1 / 3), 3: 0.0}
 
 
+def test_triangles_send_lists_only_to_middles(spark, monkeypatch):
+    """Sixty fans of one pair of hubs, without an edge between these: nothing is in the middle."""
+    pairs = [(k, hub) for k in range(2, 62) for hub in (0, 1)]
+    written = {}
+
+    def keeping(df, tag):
+        written[tag] = stored = materialize(df, tag)
+        return stored
+
+    materialize = alg.materialize
+    monkeypatch.setattr(alg, "materialize", keeping)
+    assert set(values(alg.triangles(projection(spark, 62, pairs))).values()) == {0}
+    assert written["middle"].count() == 0 and written["projected-edges"].count() == len(pairs)
+    got = values(alg.triangles(projection(spark, 62, [*pairs, (0, 1), (1, 0)])))
+    assert got == {0: 60, 1: 60, **{k: 1 for k in range(2, 62)}}
+
+
 def test_centralities(spark):
     path = projection(spark, 3, [(0, 1), (1, 2)])
     assert values(alg.betweenness(path)) == {0: 0.0, 1: 1.0, 2: 0.0}
