@@ -167,6 +167,15 @@ def test_triangles_send_lists_only_to_middles(spark, monkeypatch):
     assert got == {0: 60, 1: 60, **{k: 1 for k in range(2, 62)}}
 
 
+def test_clustering_finds_its_pairs_once(spark, monkeypatch):
+    tags, materialize = [], alg.materialize
+    monkeypatch.setattr(alg, "materialize", lambda df, tag: tags.append(tag) or materialize(df, tag))
+    found = alg.clustering(projection(spark, 5, [(0, 1), (1, 2), (2, 0), (2, 3)]))
+    assert values(found) == {0: 1.0, 1: 1.0, 2: pytest.approx(1 / 3), 3: 0.0, 4: 0.0}
+    # Degrees come from a stored table, so that the plan makes no pairs again.
+    assert tags.count("sizes") == 1 and "distinct" not in found._jdf.queryExecution().analyzed().toString().lower()
+
+
 def test_centralities(spark):
     path = projection(spark, 3, [(0, 1), (1, 2)])
     assert values(alg.betweenness(path)) == {0: 0.0, 1: 1.0, 2: 0.0}
