@@ -6,6 +6,8 @@ struct of four independent parts, because Spark has no interval of months, days
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,17 @@ def _div(a: Column, b: int) -> Column:
     return F.call_function("div", a.cast("long"), F.lit(b).cast("long"))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value worked out once however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _groups(text: Column, pattern: str, count: int) -> Column:
+    """The groups of a text that matches a pattern from end to end, found in one pass; "" for those that are absent."""
+    marked = F.regexp_replace(text, F.lit(pattern), F.lit("".join(f"${k}\x01" for k in range(1, count + 1))))
+    return F.split(marked, "\x01")
+
+
 def part(c: Column, name: str) -> Column:
     """A component of a date or local date-time."""
     simple = {
@@ -122,18 +135,21 @@ def divide(d: Column, by: Column | float) -> Column:
 
 def _cascade(months: Column, days: Column, seconds: Column) -> Column:
     """A duration from fractional parts: each keeps its whole part and hands the rest down."""
-    months, days, seconds = (c.cast("double") for c in (months, days, seconds))
-    whole_months = _toward_zero(months)
-    days = days + (months - whole_months) * (MONTH_SECONDS / 86_400)
-    whole_days = _toward_zero(days)
-    seconds = seconds + (days - whole_days) * 86_400
-    whole = F.floor(F.round(seconds, 9))
-    return duration(whole_months, whole_days, whole, F.round((seconds - whole) * 1e9))
+
+    def split(x: Column) -> Column:
+        return _once(_toward_zero(x["m"]), lambda m: _once(x["d"] + (x["m"] - m) * (MONTH_SECONDS / 86_400), lambda d: below(x, m, d)))
+
+    def below(x: Column, m: Column, days: Column) -> Column:
+        return _once(_toward_zero(days), lambda d: _once(x["s"] + (days - d) * 86_400, lambda s: whole(m, d, s)))
+
+    def whole(m: Column, d: Column, seconds: Column) -> Column:
+        return _once(F.floor(F.round(seconds, 9)), lambda s: duration(m, d, s, F.round((seconds - s) * 1e9)))
+
+    return _once(F.struct(*(c.cast("double").alias(n) for n, c in (("m", months), ("d", days), ("s", seconds)))), split)
 
 
 def _toward_zero(c: Column) -> Column:
-    c = F.round(c, 9)
-    return F.when(c >= 0, F.floor(c)).otherwise(F.ceil(c)).cast("double")
+    return _once(F.round(c, 9), lambda r: F.when(r >= 0, F.floor(r)).otherwise(F.ceil(r)).cast("double"))
 
 
 def plus(a: Column, b: Column) -> Column:
@@ -173,13 +189,12 @@ _DURATION = r"^([-+]?)P(?:([-+0-9.]+)Y)?(?:([-+0-9.]+)M)?(?:([-+0-9.]+)W)?(?:([-
 def parse_duration(text: Column) -> Column:
     """``duration('P1Y2M3W4DT5H6M7.5S')``; null for null and for text that is no duration."""
 
-    def group(k: int) -> Column:
-        found = F.regexp_extract(text, _DURATION, k)
-        return F.coalesce(F.when(found != "", found).try_cast("double"), F.lit(0.0)) * sign
+    def read(g: Column) -> Column:
+        sign = F.when(g[0] == "-", F.lit(-1.0)).otherwise(F.lit(1.0))
+        y, m, w, d, h, mi, se = (F.coalesce(F.when(g[k] != "", g[k]).try_cast("double"), F.lit(0.0)) * sign for k in range(1, 8))
+        return duration_of(years=y, months=m, weeks=w, days=d, hours=h, minutes=mi, seconds=se)
 
-    sign = F.when(F.regexp_extract(text, _DURATION, 1) == "-", F.lit(-1.0)).otherwise(F.lit(1.0))
-    y, m, w, d, h, mi, se = (group(k) for k in range(2, 9))
-    return F.when(text.rlike(_DURATION) & (F.char_length(text) > 1), duration_of(years=y, months=m, weeks=w, days=d, hours=h, minutes=mi, seconds=se))
+    return _once(text, lambda t: F.when(t.rlike(_DURATION) & (F.char_length(t) > 1), _once(_groups(t, _DURATION, 8), read)))
 
 
 _WHOLE = {"years": ("months", 12), "quarters": ("months", 3), "months": ("months", 1), "weeks": ("days", 7), "days": ("days", 1),
@@ -211,8 +226,7 @@ _TIME = r"^([0-9]{2})(?::?([0-9]{2})(?::?([0-9]{2})(?:[.,]([0-9]{1,9}))?)?)?$"
 _ZONE = r"(Z|[-+][0-9]{2}(?::?[0-9]{2})?)?(?:\[([^\]]+)\])?$"
 
 
-def _number(text: Column, pattern: str, group: int) -> Column:
-    found = F.regexp_extract(text, pattern, group)
+def _number(found: Column) -> Column:
     return F.when(found != "", found).try_cast("int")
 
 
@@ -235,11 +249,16 @@ def date_of(
 
 def parse_date(text: Column) -> Column:
     """``date('...')``: year, year-month, year-month-day, year-Www-d, year-Qq-d and year-ddd, dashes optional."""
-    y, w, dw, q, dq, o, m, d = (_number(text, _DATE, k) for k in range(1, 9))
-    found = F.when(w.isNotNull(), date_of(y, week=w, day_of_week=dw)).when(q.isNotNull(), date_of(y, quarter=q, day_of_quarter=dq))
-    found = found.when(o.isNotNull(), date_of(y, ordinal_day=o))
-    plain = F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(F.coalesce(m, F.lit(1)).cast("string"), 2, "0"), F.lpad(F.coalesce(d, F.lit(1)).cast("string"), 2, "0"))
-    return F.when(text.rlike(_DATE), found.otherwise(plain.try_cast("date")))
+
+    def read(g: Column) -> Column:
+        y, w, dw, q, dq, o, m, d = (_number(g[k]) for k in range(8))
+        found = F.when(w.isNotNull(), date_of(y, week=w, day_of_week=dw)).when(q.isNotNull(), date_of(y, quarter=q, day_of_quarter=dq))
+        found = found.when(o.isNotNull(), date_of(y, ordinal_day=o))
+        one = F.lit(1)
+        month, day = (F.lpad(F.coalesce(x, one).cast("string"), 2, "0") for x in (m, d))
+        return found.otherwise(F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), month, day).try_cast("date"))
+
+    return _once(text, lambda t: F.when(t.rlike(_DATE), _once(_groups(t, _DATE, 8), read)))
 
 
 def time_of(hour: Column, minute: Column | int = 0, second: Column | int = 0, nanosecond: Column | int = 0) -> Column:
@@ -250,10 +269,13 @@ def time_of(hour: Column, minute: Column | int = 0, second: Column | int = 0, na
 
 def parse_time(text: Column) -> Column:
     """``localtime('hh:mm:ss.fff')``, colons optional, as nanoseconds of the day."""
-    zero = F.lit(0)
-    h, m, s = (F.coalesce(_number(text, _TIME, k), zero) for k in (1, 2, 3))
-    fraction = F.rpad(F.regexp_extract(text, _TIME, 4), 9, "0").cast("long")
-    return F.when(text.rlike(_TIME) & (h < 24) & (m < 60) & (s < 60), time_of(h, m, s, fraction))
+
+    def read(g: Column) -> Column:
+        numbers = F.array(*(F.coalesce(_number(g[k]), F.lit(0)) for k in range(3)))
+        fraction = F.rpad(g[3], 9, "0").cast("long")
+        return _once(numbers, lambda n: F.when((n[0] < 24) & (n[1] < 60) & (n[2] < 60), time_of(n[0], n[1], n[2], fraction)))
+
+    return _once(text, lambda t: F.when(t.rlike(_TIME), _once(_groups(t, _TIME, 4), read)))
 
 
 def time_part(nanos: Column, name: str) -> Column:
@@ -269,9 +291,12 @@ def date_time(day: Column, nanos: Column) -> Column:
 
 def parse_local_datetime(text: Column) -> Column:
     """``localdatetime('<date>T<time>')``; a date alone is its midnight.  The session's zone has to be UTC."""
-    both = F.split(text, "T", 2)
-    at = F.when(F.size(both) > 1, parse_time(both[1])).otherwise(F.lit(0).cast("long"))
-    return date_time(parse_date(both[0]), at)
+
+    def read(both: Column) -> Column:
+        at = F.when(F.size(both) > 1, parse_time(F.get(both, F.lit(1)))).otherwise(F.lit(0).cast("long"))
+        return date_time(parse_date(F.get(both, F.lit(0))), at)
+
+    return _once(F.split(text, "T", 2), read)
 
 
 def parse_datetime(text: Column, default_zone: str = "UTC") -> Column:
@@ -280,16 +305,24 @@ def parse_datetime(text: Column, default_zone: str = "UTC") -> Column:
     An offset (``Z``, ``+02``, ``+02:00``) or a region in brackets may follow; a region without an
     offset has that of its rules at that time.
     """
-    zone = F.regexp_extract(text, _ZONE, 2)
-    mark = F.regexp_extract(text, r"T[^-+Z\[]*(Z|[-+][0-9:]+)", 1)
-    local = parse_local_datetime(F.regexp_extract(text, r"^([^T\[]*(?:T[^-+Z\[]*)?)", 1))
-    digits = F.regexp_replace(mark, "[^0-9]", "")
-    size = F.substring(digits, 1, 2).try_cast("int") * 3600 + F.coalesce(F.substring(digits, 3, 2).try_cast("int"), F.lit(0)) * 60
-    given = F.when(mark == "Z", F.lit(0)).when(mark != "", F.when(mark.startswith("-"), -size).otherwise(size))
-    region = F.when(zone != "", zone).otherwise(F.lit(default_zone))
-    by_rules = _seconds(local) - _seconds(F.to_utc_timestamp(local.cast("timestamp"), region))
-    offset = F.coalesce(given, by_rules.cast("int"))
-    return F.when(local.isNotNull(), F.struct(local.alias("local"), offset.alias("offset"), F.when(zone != "", zone).alias("zone")))
+
+    def offset_of(mark: Column) -> Column:
+        digits = F.regexp_replace(mark, "[^0-9]", "")
+        size = F.substring(digits, 1, 2).try_cast("int") * 3600 + F.coalesce(F.substring(digits, 3, 2).try_cast("int"), F.lit(0)) * 60
+        return F.when(mark == "Z", F.lit(0)).when(mark != "", F.when(mark.startswith("-"), -size).otherwise(size))
+
+    def join(x: Column) -> Column:
+        local, zone = x["local"], F.when(x["zone"] != "", x["zone"])
+        by_rules = _seconds(local) - _seconds(F.to_utc_timestamp(local.cast("timestamp"), F.coalesce(zone, F.lit(default_zone))))
+        offset = F.coalesce(x["given"], by_rules.cast("int"))
+        return F.when(local.isNotNull(), F.struct(local.alias("local"), offset.alias("offset"), zone.alias("zone")))
+
+    def read(t: Column) -> Column:
+        local = parse_local_datetime(F.regexp_extract(t, r"^([^T\[]*(?:T[^-+Z\[]*)?)", 1))
+        given = _once(F.regexp_extract(t, r"T[^-+Z\[]*(Z|[-+][0-9:]+)", 1), offset_of)
+        return _once(F.struct(local.alias("local"), F.regexp_extract(t, _ZONE, 2).alias("zone"), given.alias("given")), join)
+
+    return _once(text, read)
 
 
 def _seconds(c: Column) -> Column:

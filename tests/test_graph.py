@@ -277,6 +277,19 @@ def test_time_and_space(spark):
     assert (row["t"], row["c"][:10], row["w"][:10], row["m"], row["x"]) == ("2024-02-29 10:00:01", "2000-01-01", "2024-01-01", 5.0, None)
 
 
+@pytest.mark.parametrize("parse", [temporal.parse_duration])
+def test_texts_are_read_once(spark, parse):
+    """A pattern is applied a few times for each text, not once for each use of each part."""
+    frame = spark.createDataFrame([("P1Y2M3W4DT5H6M7.5S",), ("2024-07-01T10:00[Europe/Berlin]",), ("PT1S\n",), ("x",), (None,)], "t string")
+    frame = frame.select(parse(F.col("t")).alias("d"))
+    assert frame._jdf.queryExecution().optimizedPlan().toString().lower().count("regexp_") < 10
+    got = [r["d"] for r in frame.collect()]
+    if parse is temporal.parse_duration:
+        assert [None if r is None else tuple(r) for r in got] == [(14, 25, 18367, 500_000_000), None, (0, 0, 1, 0), None, None]
+    else:
+        assert [None if r is None else (str(r["local"]), r["offset"], r["zone"]) for r in got] == [None, ("2024-07-01 10:00:00", 7200, "Europe/Berlin"), None, None, None]
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "n.csv").write_text("id:ID,:LABEL,name:string,age:int,tags:string[]\n1,Person,Ann,30,a;b\n2,Person,Bob,,\n")
     (tmp_path / "r.csv").write_text(":START_ID,:END_ID,:TYPE,since:int\n1,2,KNOWS,2001\n")
