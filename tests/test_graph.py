@@ -277,7 +277,7 @@ def test_time_and_space(spark):
     assert (row["t"], row["c"][:10], row["w"][:10], row["m"], row["x"]) == ("2024-02-29 10:00:01", "2000-01-01", "2024-01-01", 5.0, None)
 
 
-@pytest.mark.parametrize("parse", [temporal.parse_duration])
+@pytest.mark.parametrize("parse", [temporal.parse_duration, temporal.parse_datetime])
 def test_texts_are_read_once(spark, parse):
     """A pattern is applied a few times for each text, not once for each use of each part."""
     frame = spark.createDataFrame([("P1Y2M3W4DT5H6M7.5S",), ("2024-07-01T10:00[Europe/Berlin]",), ("PT1S\n",), ("x",), (None,)], "t string")
