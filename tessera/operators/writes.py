@@ -84,9 +84,10 @@ def set_properties(graph: PropertyGraph, label: str, values: DataFrame, names: l
     for n in names:
         old = F.col(n) if n in table.columns else F.lit(None)
         joined = joined.withColumn(n, F.when(F.col("__set"), F.col(f"__{n}")).otherwise(old))
-    hits = table.join(values, "id", "left_semi").count()
+    hits = table.select("id").join(values.select("id"), "id", "left_semi").count()
+    # Only the values are stored: a reader joins the columns it needs, instead of all being written anew.
     out = joined.drop("__set", *(f"__{n}" for n in names))
-    return graph.with_nodes(label, materialize(out, "nodes")), Counters(properties_set=hits * len(names))
+    return graph.with_nodes(label, out), Counters(properties_set=hits * len(names))
 
 
 def remove_properties(graph: PropertyGraph, label: str, ids: DataFrame, names: list[str]) -> tuple[PropertyGraph, Counters]:

@@ -215,6 +215,16 @@ def test_writes(chain, spark):
     assert writes.relabel(g, spark.createDataFrame([(2,)], "id long"), add="M").label_scan("M").count() == 1
 
 
+def test_set_writes_only_its_values(chain, spark, monkeypatch):
+    written, materialize = [], writes.materialize
+    monkeypatch.setattr(writes, "materialize", lambda df, tag: written.append((tag, df.columns)) or materialize(df, tag))
+    g, c = writes.set_rel_properties(chain, "R", spark.createDataFrame([(11, True), (99, True)], "rid long, heavy boolean"), ["heavy"])
+    assert written == [("values", ["id", "heavy"])] and c.properties_set == 1
+    assert {r["rid"]: r["heavy"] for r in g.rels["R"].collect()} == {10: None, 11: True, 12: None, 13: None, 14: None}
+    g, _ = writes.set_rel_properties(g, "R", spark.createDataFrame([(11, None), (12, False)], "rid long, heavy boolean"), ["heavy"])
+    assert {r["rid"]: r["heavy"] for r in g.rels["R"].collect()} == {10: None, 11: None, 12: False, 13: None, 14: None}
+
+
 def test_procedures(chain, spark):
     p = Procedures(chain)
     assert [r[0] for r in p.call("db.labels").collect()] == ["N"]
