@@ -322,16 +322,28 @@ def label_propagation(p: Projection, max_iterations: int = 100) -> DataFrame:
     to the smallest.  The reference updates node by node in id order; that order can't be kept in
     parallel rounds, so ``label_propagation_in_order`` does it for small graphs.
     """
-    arcs = materialize(_neighbours(p), "arcs")
-    marks, before = materialize(p.nodes.select("id", F.col("id").alias("mark")), "marks"), None
-    for _ in range(max_iterations):
+    start = p.nodes.select("id", F.col("id").alias("mark"))
+    if max_iterations < 1:
+        return start.select(F.col("id").alias("nodeId"), F.col("mark").alias("communityId"))
+    pairs = materialize(_simple(p), "pairs")
+    arcs = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(pairs.select(F.col("b").alias("src"), F.col("a").alias("dst")))
+    # In the first round every label occurs once, so that the smallest wins.
+    least = arcs.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("least"))
+    marks = materialize(start.join(least, "id", "left").select("id", F.least("mark", "least").alias("mark")), "marks")
+    past = []
+    for done in range(1, max_iterations + 1):
+        after = marks.agg(F.sum(F.hash("id", "mark").cast("long")), F.bit_xor(F.xxhash64("id", "mark"))).first()
+        found = next((k for k, (state, _) in enumerate(past) if state == after), None)
+        if found is not None:
+            # The labels go in a circle from here on; the last round falls on one of its states.
+            marks = past[found + (max_iterations - found - 1) % (len(past) - found)][1]
+            break
+        past.append((after, marks))
+        if done == max_iterations:
+            break
         votes = arcs.join(marks, F.col("dst") == F.col("id")).select(F.col("src").alias("id"), "mark").unionByName(marks)
         tally = votes.groupBy("id", "mark").agg(F.count(F.lit(1)).alias("n"))
         marks = materialize(tally.groupBy("id").agg(F.max_by("mark", F.struct("n", -F.col("mark"))).alias("mark")), "marks")
-        after = marks.agg(F.sum(F.hash("id", "mark").cast("long")), F.bit_xor(F.xxhash64("id", "mark"))).first()
-        if after == before:
-            break
-        before = after
     return marks.select(F.col("id").alias("nodeId"), F.col("mark").alias("communityId"))
 
 

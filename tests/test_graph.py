@@ -200,6 +200,21 @@ def test_label_propagation_of_two_cliques(spark):
         assert len({got[i] for i in range(4)}) == 1 and len({got[i] for i in range(4, 8)}) == 1 and got[8] == 8
 
 
+def test_label_propagation_stops_in_a_circle(spark, monkeypatch):
+    """Two hubs of four leaves whose labels change sides: as many rounds as asked for, in a few."""
+    pairs = [(0, 5), (0, 6), (0, 7), (0, 8), (1, 5), (1, 6), (1, 7), (1, 8), (2, 3)]
+    by_hand = {i: i for i in range(10)}
+    near = {i: [b for a, b in pairs if a == i] + [a for a, b in pairs if b == i] for i in range(10)}
+    for rounds in range(1, 8):
+        votes = {i: [by_hand[j] for j in (*near[i], i)] for i in range(10)}
+        by_hand = {i: min(v, key=lambda k: (-v.count(k), k)) for i, v in votes.items()}
+        assert values(alg.label_propagation(projection(spark, 10, pairs), rounds)) == by_hand
+    tags, materialize = [], alg.materialize
+    monkeypatch.setattr(alg, "materialize", lambda df, tag: tags.append(tag) or materialize(df, tag))
+    alg.label_propagation(projection(spark, 10, pairs), 99)
+    assert tags.count("marks") < 8 and tags.count("arcs") == 0
+
+
 def test_writes(chain, spark):
     g, c = writes.create_nodes(chain, "N", spark.createDataFrame([(5, "e")], "id long, name string"))
     assert c.nodes_created == 1 and g.label_scan("N").count() == 5 and chain.label_scan("N").count() == 4
