@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from tessera.graph import PropertyGraph
 from tessera.storage import materialize
 
+#: Rows that one task of a MERGE of relationships sorts or hashes.
+_TASK_ROWS = 250_000
+
 
 @dataclass(frozen=True)
 class Counters:
@@ -125,6 +128,8 @@ def merge_rels(graph: PropertyGraph, kind: str, rows: DataFrame, new_rid: Column
         raise ValueError("MERGE of a relationship with a null end")
     table = graph.rels[kind] if kind in graph.rels else graph.spark.createDataFrame([], "rid long, src long, dst long")
     known = table.select("src", "dst")
+    # As many parts as the rows ask for, so that a task's share doesn't grow with them.
+    rows = rows.repartition(rows.count() // _TASK_ROWS + 1, "src", "dst")
     wanted = rows.select("src", "dst").distinct()
     if not directed:
         known = known.unionByName(known.select(F.col("dst").alias("src"), F.col("src").alias("dst")))

@@ -240,6 +240,14 @@ def test_set_writes_only_its_values(chain, spark, monkeypatch):
     assert {r["rid"]: r["heavy"] for r in g.rels["R"].collect()} == {10: None, 11: None, 12: False, 13: None, 14: None}
 
 
+def test_merge_spreads_its_rows(chain, spark, monkeypatch):
+    monkeypatch.setattr(writes, "_TASK_ROWS", 100)
+    rows = spark.range(3000).selectExpr("id % 500 AS src", "id % 500 + 1000 AS dst")
+    g, matched, c = writes.merge_rels(chain, "S", rows, F.xxhash64("src", "dst"))
+    assert (c.rels_created, matched.count(), g.rels["S"].count()) == (500, 3000, 500)
+    assert "REPARTITION_BY_NUM" in matched._jdf.queryExecution().executedPlan().toString()
+
+
 def test_procedures(chain, spark):
     p = Procedures(chain)
     assert [r[0] for r in p.call("db.labels").collect()] == ["N"]
