@@ -11,14 +11,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.graph import PropertyGraph
+from tessera.graph import SPACE, PropertyGraph
 from tessera.operators.components import connected_components
 from tessera.storage import materialize
 
 _UNSETTLED = "{} did not settle in {} rounds"
+#: Numbers of labels that an id has room for, and pairs of labels that a plan names at most.
+_LABELS, _MAX_KINDS = (1 << 64) // SPACE, 200
 
 
 @dataclass(frozen=True)
@@ -183,33 +185,57 @@ def scc(p: Projection, max_rounds: int = 1000) -> DataFrame:
     return found.select(F.col("id").alias("nodeId"), F.col("mark").alias("componentId"))
 
 
+def _label(c: str) -> Column:
+    return F.shiftright(F.col(c), SPACE.bit_length() - 1)
+
+
+def _kind(u: str, v: str) -> Column:
+    """One number for the labels of two nodes."""
+    return _label(u) * _LABELS + _label(v)
+
+
+def _kinds(arcs: DataFrame) -> tuple[set, set, set] | None:
+    """Kinds of the arcs u-a, u-b and a-b that a triangle can have, by the labels that ids begin with.
+
+    None (any kind) where there are more pairs of labels than a plan should name.
+    """
+    found = arcs.select(_label("u").alias("u"), _label("v").alias("v")).distinct().limit(_MAX_KINDS + 1).collect()
+    if len(found) > _MAX_KINDS:
+        return None
+    known = {(r["u"], r["v"]) for r in found}
+    whole = [((u, a), (u, b), (a, b)) for u, a in known for c, b in known if a == c and (u, b) in known]
+    first, second, closing = ({u * _LABELS + v for u, v in (w[k] for w in whole)} for k in range(3))
+    return first, second, closing
+
+
 def _corners(p: Projection) -> tuple[DataFrame, DataFrame]:
     """``(id, d)``, the neighbours of each node that has any, and ``(id, n)``, the triangles of each that has any.
 
-    Edges are directed from the end with the smaller degree, which bounds the lists of a hub.  A
-    triangle u, a, b with arcs u-a, u-b and a-b is found where the list of u meets that of a; only nodes
-    a with arcs both in and out can be in the middle, and only they are sent lists.
+    Edges are directed from the end with the smaller degree, which bounds the arcs out of a hub.  A
+    triangle u, a, b has the arcs u-a, u-b and a-b: two arcs of u make a pair a, b, which is looked up
+    among the arcs, so that no list of neighbours is read more than once.  Only nodes with arcs both in
+    and out can be a, and only pairs are made whose labels some arc joins.
     """
     pairs = materialize(_simple(p), "pairs")
     sizes = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("d")), "sizes")
-    ranked = pairs.join(sizes.select(F.col("id").alias("a"), F.col("d").alias("da")), "a").join(
-        sizes.select(F.col("id").alias("b"), F.col("d").alias("db")), "b"
-    )
+    size_of = lambda end: sizes.select(F.col("id").alias(end), F.col("d").alias(f"d{end}")).hint("shuffle_hash")
+    ranked = pairs.join(size_of("a"), "a").join(size_of("b"), "b")
     forward = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
-    arcs = ranked.select(F.when(forward, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(forward, F.col("b")).otherwise(F.col("a")).alias("v"))
+    arcs = ranked.select(
+        F.when(forward, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(forward, F.col("b")).otherwise(F.col("a")).alias("v"), F.greatest("da", "db").alias("d")
+    )
     arcs = materialize(arcs, "forward")
-    middle = arcs.select("u").distinct().join(arcs.select(F.col("v").alias("u")).distinct(), "u", "left_semi")
+    kinds = _kinds(arcs)
+    first, second, closing = (F.lit(True) if kinds is None else _kind("u", "v").isin(k) for k in kinds or (None,) * 3)
+    middle = arcs.filter(closing).select("u").distinct().join(arcs.filter(first).select(F.col("v").alias("u")).distinct(), "u", "left_semi")
     middle = materialize(middle, "middle")
-    inner = arcs.join(middle.withColumnRenamed("u", "v"), "v", "left_semi")
-    lists = arcs.groupBy("u").agg(F.collect_list("v").alias("ahead"))
-    # A list of one node has no second corner.
-    sent = inner.join(lists.filter(F.size("ahead") > 1), "u").select("u", F.col("v").alias("a"), "ahead")
-    beyond = arcs.join(middle, "u", "left_semi").groupBy(F.col("u").alias("a")).agg(F.collect_list("v").alias("beyond"))
-    met = sent.join(beyond, "a").select("u", "a", F.array_intersect("ahead", "beyond").alias("third")).filter(F.size("third") > 0)
-    many, one = F.size("third").cast("long"), F.lit(1).cast("long")
-    corner = lambda c, n: F.struct(c.alias("id"), n.alias("n"))
-    corners = F.concat(F.array(corner(F.col("u"), many), corner(F.col("a"), many)), F.transform("third", lambda b: corner(b, one)))
-    counts = met.select(F.explode(corners).alias("c")).groupBy("c.id").agg(F.sum("c.n").alias("n"))
+    near = arcs.filter(first).join(middle.withColumnRenamed("u", "v").hint("shuffle_hash"), "v", "left_semi").select("u", F.col("v").alias("a"), F.col("d").alias("da"))
+    far = arcs.filter(second).select("u", F.col("v").alias("b"), F.col("d").alias("db"))
+    ahead = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
+    joined = F.lit(True) if kinds is None else _kind("a", "b").isin(kinds[2])
+    open_pairs = near.join(far, "u").filter(ahead & joined).select("a", "b", "u")
+    closed = open_pairs.join(arcs.filter(closing).select(F.col("u").alias("a"), F.col("v").alias("b")).hint("shuffle_hash"), ["a", "b"])
+    counts = closed.select(F.explode(F.array("u", "a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     return sizes, counts
 
 

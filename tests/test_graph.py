@@ -1,13 +1,14 @@
 """Hand-computed graphs: patterns, paths, algorithms, writes, functions and files."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import scalar as fn
 from tessera.functions import spatial, temporal
-from tessera.graph import PropertyGraph, prop
+from tessera.graph import SPACE, PropertyGraph, prop
 from tessera.operators import algorithms as alg
 from tessera.operators import fulltext, writes
 from tessera.operators.pattern import match, match_rels, shortest_paths
@@ -176,6 +177,26 @@ def test_clustering_finds_its_pairs_once(spark, monkeypatch):
     assert tags.count("sizes") == 1 and "distinct" not in found._jdf.queryExecution().analyzed().toString().lower()
 
 
+def test_triangles_as_brute_force_finds_them(spark, monkeypatch):
+    """Labelled nodes, hubs and repeated edges; no list of a node's neighbours is gathered and read for each arc into it."""
+    rng = random.Random(5)
+    ids = [label * SPACE + k for label, count in ((-2, 3), (0, 6), (5, 12), (8, 25)) for k in range(count)]
+    pairs = [tuple(rng.choice(ids) for _ in range(2)) for _ in range(400)] + [(ids[0], x) for x in ids]
+    near = {x: {b if a == x else a for a, b in pairs if x in (a, b)} - {x} for x in ids}
+    want = {x: sum(b in near[a] for a in near[x] for b in near[x] if a < b) for x in ids}
+    nodes = spark.createDataFrame([(x,) for x in ids], "id long")
+    p = alg.project_edges(nodes, edges(spark, pairs))
+    split = [(a, b) for a, b in pairs if a < SPACE <= b]
+    assert set(values(alg.triangles(alg.project_edges(nodes, edges(spark, split)))).values()) == {0}
+    for most in (alg._MAX_KINDS, 1):
+        monkeypatch.setattr(alg, "_MAX_KINDS", most)
+        found = alg.triangles(p)
+        assert values(found) == want and any(want.values())
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_list" not in plan and "array_intersect" not in plan
+        assert ("shiftright" in plan) == (most > 1)
+
+
 def test_centralities(spark):
     path = projection(spark, 3, [(0, 1), (1, 2)])
     assert values(alg.betweenness(path)) == {0: 0.0, 1: 1.0, 2: 0.0}
