@@ -222,6 +222,8 @@ def duration_part(d: Column, name: str) -> Column:
 # Constructors.  A text that has no such form gives null.
 
 _DATE = r"^([0-9]{4})(?:-?(?:W([0-9]{2})(?:-?([1-7]))?|Q([1-4])-?([0-9]{1,2})|([0-9]{3})|([0-9]{2})(?:-?([0-9]{2}))?))?$"
+#: Forms of a date that a cast reads.
+_PLAIN_DATE = r"^[0-9]{4}(?:-[0-9]{2}(?:-[0-9]{2})?)?\z"
 _TIME = r"^([0-9]{2})(?::?([0-9]{2})(?::?([0-9]{2})(?:[.,]([0-9]{1,9}))?)?)?$"
 _ZONE = r"(Z|[-+][0-9]{2}(?::?[0-9]{2})?)?(?:\[([^\]]+)\])?$"
 
@@ -258,7 +260,8 @@ def parse_date(text: Column) -> Column:
         month, day = (F.lpad(F.coalesce(x, one).cast("string"), 2, "0") for x in (m, d))
         return found.otherwise(F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), month, day).try_cast("date"))
 
-    return _once(text, lambda t: F.when(t.rlike(_DATE), _once(_groups(t, _DATE, 8), read)))
+    forms = lambda t: F.when(t.rlike(_PLAIN_DATE), t.try_cast("date")).when(t.rlike(_DATE), _once(_groups(t, _DATE, 8), read))
+    return _once(text, forms)
 
 
 def time_of(hour: Column, minute: Column | int = 0, second: Column | int = 0, nanosecond: Column | int = 0) -> Column:

@@ -100,6 +100,15 @@ def ends_of_relationships(g):
 
 # Temporal values
 
+#: Rows whose texts one task reads.
+_TASK_TEXTS = 50_000
+
+
+def _spread(rows):
+    """``rows`` in as many parts as their number asks for: few bytes hold many texts, and a file may be a single part."""
+    return rows.repartition(rows.count() // _TASK_TEXTS + 1)
+
+
 _DAY = "CAST(o_orderdate AS DATE)"
 
 
@@ -109,7 +118,7 @@ def date_constructors(g):
     t = F.col("o_orderdate").cast("date")
     year, week, day = temporal.part(t, "weekYear"), temporal.part(t, "week"), temporal.part(t, "weekDay")
     q = temporal.part(t, "dayOfQuarter")
-    return g.label_scan("Order").select(
+    return _spread(g.label_scan("Order").select("o_orderkey", "o_orderdate")).select(
         "o_orderkey", temporal.parse_date(F.date_format(t, "yyyy-MM-dd")).alias("plain"), temporal.parse_date(F.date_format(t, "yyyyMMdd")).alias("basic"),
         temporal.parse_date(F.format_string("%04d-W%02d-%d", year, week, day)).alias("week"),
         temporal.parse_date(F.format_string("%04d-%03d", F.year(t), F.dayofyear(t))).alias("ordinal"),
@@ -127,7 +136,7 @@ def time_and_zone(g):
     day = F.date_format(t, "yyyy-MM-dd")
     # Columns of their own, so that each text is read once.
     moment, at = F.col("moment"), F.col("at")
-    rows = g.label_scan("Event").select("event_id", day.alias("day"), text.alias("text"))
+    rows = _spread(g.label_scan("Event").select("event_id", "ts")).select("event_id", day.alias("day"), text.alias("text"))
     rows = rows.withColumn("at", temporal.parse_time(F.col("text")))
     rows = rows.withColumn("moment", temporal.parse_datetime(F.concat("day", F.lit("T"), "text", F.lit("+02:00[Europe/Berlin]"))))
     return rows.select(
@@ -146,7 +155,8 @@ def duration_components(g):
     names = {"months": "months", "quarters": "quarters", "of_year": "monthsOfYear", "days": "days", "weeks": "weeks", "of_week": "daysOfWeek",
              "seconds": "seconds", "of_hour": "minutesOfHour", "millis": "millisecondsOfSecond"}
     parts = [temporal.duration_part(d, n).alias(a) for a, n in names.items()]
-    return g.label_scan("Part").select("p_partkey", *parts, temporal.duration_part(temporal.duration_of(minutes=s * 60), "hours").alias("from_map"))
+    rows = _spread(g.label_scan("Part").select("p_partkey", "p_size"))
+    return rows.select("p_partkey", *parts, temporal.duration_part(temporal.duration_of(minutes=s * 60), "hours").alias("from_map"))
 
 
 @query("SELECT o_orderkey, CAST(o_orderdate - INTERVAL 1 MONTH - INTERVAL 3 DAY AS TIMESTAMP) AS before, CAST(date_sub('month', TIMESTAMP '1990-01-15', o_orderdate) AS BIGINT) AS months, CAST(date_sub('day', TIMESTAMP '1990-01-15' + to_months(CAST(date_sub('month', TIMESTAMP '1990-01-15', o_orderdate) AS INTEGER)), o_orderdate) AS BIGINT) AS days, CAST(1 AS BIGINT) AS half, CAST(15 AS BIGINT) AS half_days, CAST(-2 AS BIGINT) AS less, 1 AS longer FROM orders")

@@ -15,3 +15,12 @@ def test_entry_is_registered():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("name", ["time_and_zone", "date_constructors", "duration_components"])
+def test_texts_are_read_in_many_tasks(spark, monkeypatch, name):
+    """Tables of few bytes are one part of a file, however many texts come of them."""
+    monkeypatch.setattr(values, "_TASK_TEXTS", 50)
+    found = catalogue.QUERIES[name](spark, SF)
+    assert found.rdd.getNumPartitions() > 3
+    check(found, catalogue.ORACLE_SQL[name], SF)
